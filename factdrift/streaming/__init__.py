@@ -1,0 +1,5 @@
+"""No streaming operators: the engine's windows count snapshots, not event time.
+
+``sources.parse_lines`` is a plain projection and filter, so it also accepts the
+lines of a streaming text source.
+"""

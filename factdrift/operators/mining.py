@@ -2,8 +2,7 @@
 
 MLlib's FP-Growth does the mining. It has no notion of a window, so an item is
 encoded as one number per (window, item): itemsets cannot cross windows and
-windows of similar size share a fit. Items below their window's cut are in no
-frequent itemset and are dropped, exactly, before an entity's items are gathered.
+windows of similar size share a fit.
 """
 
 from __future__ import annotations
@@ -15,14 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.items import rule_key
-from ..staging import Staged, bounded_join, stage
-from .snapshots import union_all
-from .transactions import (
-    WindowedItems,
+from ..staging import bounded_join, stage
+from .mining_input import (
+    LongItems,
+    MaskedItems,
     items_of_transactions,
     items_of_triples,
     items_of_windowed,
 )
+from .snapshots import union_all
 from .windows import WindowPlan
 
 # Windows whose cuts lie within this ratio share a fit. A shared fit mines down to
@@ -44,17 +44,6 @@ def _cohorts(cuts: dict[int, int], ratio: float) -> list[list[int]]:
     return groups
 
 
-def _frequent_items(items: WindowedItems, windows: DataFrame) -> Staged:
-    """Items that reach their window's cut, with a number for each.
-
-    Numbers follow the partition an item was counted in, so no order over all
-    items is needed; the written table fixes them.
-    """
-    counted = items.rows.groupBy("window_id", "item").agg(F.count("*").alias("freq"))
-    frequent = counted.join(F.broadcast(windows), "window_id").where("freq >= cut")
-    return stage(frequent.withColumn("item_id", F.monotonically_increasing_id()), "frequent-items")
-
-
 def _larger_itemsets(baskets: DataFrame, sizes: dict[int, int], cuts: dict[int, int], n_items: int):
     """FP-Growth over the baskets of some windows, as ``ids`` and ``freq``."""
     total = sum(sizes.values())
@@ -74,7 +63,7 @@ def _larger_itemsets(baskets: DataFrame, sizes: dict[int, int], cuts: dict[int,
 
 
 def _mine(
-    items: WindowedItems, min_support: float, min_confidence: float, cut_ratio: float
+    items: LongItems | MaskedItems, min_support: float, min_confidence: float, cut_ratio: float
 ) -> tuple[DataFrame, DataFrame]:
     spark = items.rows.sparkSession
     # One row per window.
@@ -87,29 +76,18 @@ def _mine(
         [(w, n, cuts[w]) for w, n in n_tx.items()], "window_id int, n_tx long, cut long"
     )
 
-    singles = _frequent_items(items, windows).frame
+    counted = items.rows.groupBy("window_id", "item").agg(F.count("*").alias("freq"))
+    frequent = counted.join(F.broadcast(windows), "window_id").where("freq >= cut")
+    dictionary = stage(items.dictionary(frequent), "frequent-items").frame
+    singles = items.singles(dictionary)
     extent = singles.agg(
-        F.count("*").alias("rows"), F.sum(F.octet_length("item")).alias("bytes")
+        F.count("*").alias("rows"),
+        F.sum(F.octet_length("item")).alias("bytes"),
     ).first()
     n_items = extent["rows"]
-    dictionary_bytes = (extent["bytes"] or 0) + 32 * n_items
-
-    kept = bounded_join(
-        items.rows,
-        singles.select("window_id", "item", "item_id"),
-        ["window_id", "item"],
-        dictionary_bytes,
-        [items.entity],
-    )
-    # At most one entry per frequent item of the window. Baskets of one item
-    # count only towards single items, which are counted already.
-    baskets = stage(
-        kept.groupBy("window_id", items.entity)
-        .agg(F.collect_list("item_id").alias("ids"))
-        .where(F.size("ids") > 1)
-        .select("window_id", "ids"),
-        "baskets",
-    )
+    dictionary_bytes = (extent["bytes"] or 0) + 64 * n_items
+
+    baskets = stage(items.baskets(dictionary, dictionary_bytes), "baskets")
     basket_rows = baskets.frame.groupBy("window_id").count().collect()
     n_baskets = {row["window_id"]: row["count"] for row in basket_rows}
 

@@ -1,25 +1,12 @@
-"""Transactions: the set of facts an entity has in one window.
-
-Mining works on the long form, one row per window, entity and item. Rows
-combine before every shuffle and no entity's facts are gathered in one place
-until the items that cannot matter are gone.
-"""
+"""Transactions: the set of facts an entity has in one window."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.items import item_token
 from ..sources.ntriples import LITERAL
-from ..staging import Staged, stage
-from .windows import WindowPlan, join_plan
-
-_BITS = 64
-# Up to this many windows an item's windows are kept as bits of a few longs.
-MASK_WINDOWS = 8 * _BITS
 
 
 def fact_items(triples: DataFrame, include_literals: bool = False) -> DataFrame:
@@ -52,99 +39,3 @@ def changed_entities(transactions: DataFrame) -> DataFrame:
 
 def transactions_per_window(transactions: DataFrame) -> DataFrame:
     return transactions.groupBy("window_id").agg(F.count("*").alias("n_transactions"))
-
-
-@dataclass(frozen=True)
-class WindowedItems:
-    """Staged mining input: what each transaction holds, and how many there are.
-
-    ``rows`` is ``window_id``, the columns in ``entity``, ``item``, without
-    duplicates; ``sizes`` is ``window_id, n_transactions``.
-    """
-
-    staged: Staged
-    rows: DataFrame
-    entity: str
-    sizes: DataFrame
-
-
-def items_of_windowed(windowed: DataFrame, include_literals: bool = False) -> WindowedItems:
-    """Mining input from window-tagged triples."""
-    distinct = fact_items(windowed, include_literals).select("window_id", "subject", "item").distinct()
-    staged = stage(distinct, "window-items")
-    rows = staged.frame
-    sizes = transactions_per_window(rows.select("window_id", "subject").distinct())
-    return WindowedItems(staged, rows, "subject", sizes)
-
-
-def items_of_transactions(transactions: DataFrame) -> WindowedItems:
-    """Mining input from ready transactions, each row being one of them."""
-    numbered = transactions.select(
-        "window_id",
-        F.monotonically_increasing_id().alias("transaction"),
-        F.array_distinct("items").alias("items"),
-    )
-    # Written before use, so a number stays with its row.
-    staged = stage(numbered, "transactions")
-    rows = staged.frame.select("window_id", "transaction", F.explode("items").alias("item"))
-    return WindowedItems(staged, rows, "transaction", transactions_per_window(staged.frame))
-
-
-def items_of_triples(
-    triples: DataFrame, plan: WindowPlan, include_literals: bool = False
-) -> WindowedItems:
-    """Mining input straight from temporal triples.
-
-    Tagging triples with windows first repeats each of them once per window
-    before the shuffle. Here a snapshot's windows are bits, and one shuffle
-    merges a fact's bits over all snapshots, however many windows overlap.
-    """
-    items = fact_items(triples, include_literals).select("snapshot", "subject", "item")
-    if plan.rows is None or plan.n_windows > MASK_WINDOWS:
-        spans = ["first_window", "last_window"]
-        tagged = join_plan(items, plan, spans, plan.spans).select(
-            F.explode(F.sequence(*spans)).alias("window_id"), "subject", "item"
-        )
-        staged = stage(tagged.distinct(), "window-items")
-        pairs = staged.frame.select("window_id", "subject").distinct()
-        return WindowedItems(staged, staged.frame, "subject", transactions_per_window(pairs))
-
-    words = [f"w{i}" for i in range(max(1, -(-plan.n_windows // _BITS)))]
-    merged = [F.bit_or(word).alias(word) for word in words]
-    masks = triples.sparkSession.createDataFrame(
-        [
-            (row["snapshot"], *_mask(row["first_window"], row["last_window"], len(words)))
-            for row in plan.rows
-            if row["first_window"] <= row["last_window"]
-        ],
-        ", ".join(["snapshot string", *(f"{word} long" for word in words)]),
-    )
-    facts = join_plan(items, plan, words, masks).groupBy("subject", "item").agg(*merged)
-    staged = stage(facts, "fact-windows")
-
-    window_id = F.explode(_set_bits(words, plan.n_windows)).alias("window_id")
-    entities = staged.frame.groupBy("subject").agg(*merged)
-    return WindowedItems(
-        staged,
-        staged.frame.select(window_id, "subject", "item"),
-        "subject",
-        transactions_per_window(entities.select(window_id)),
-    )
-
-
-def _mask(first: int, last: int, n_words: int) -> list[int]:
-    """Bits ``first`` to ``last`` as signed 64-bit words, lowest bits first."""
-    bits = (1 << (last + 1)) - (1 << first)
-    words = [(bits >> (_BITS * i)) & ((1 << _BITS) - 1) for i in range(n_words)]
-    return [word - (1 << _BITS) if word >> (_BITS - 1) else word for word in words]
-
-
-def _set_bits(words: list[str], n_windows: int) -> Column:
-    """The ids of the windows whose bit is set."""
-
-    def of_word(position: int) -> Column:
-        first = position * _BITS
-        ids = F.sequence(F.lit(first), F.lit(min(first + _BITS, n_windows) - 1))
-        return F.filter(ids, lambda k: F.getbit(words[position], k - first) == 1)
-
-    return F.concat(*(of_word(position) for position in range(len(words))))

@@ -12,6 +12,7 @@ from .evaluation import (
     triple_count,
     triples_per_snapshot,
 )
+from .facts import as_triples, customer_facts, document_facts, fact, order_facts, user_facts
 from .planted import PERSISTENT_RULE, TRANSIENT_RULE, planted_triples
 
 __all__ = [
@@ -19,7 +20,12 @@ __all__ = [
     "SUMMARY_SCHEMA",
     "TRANSIENT_RULE",
     "TemporalRules",
+    "as_triples",
+    "customer_facts",
     "distinct_terms",
+    "document_facts",
+    "fact",
+    "order_facts",
     "planted_rule_check",
     "planted_triples",
     "quality",
@@ -30,4 +36,5 @@ __all__ = [
     "throughput",
     "triple_count",
     "triples_per_snapshot",
+    "user_facts",
 ]

@@ -69,14 +69,14 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*(plain(field) for field in df.schema.fields))
 
 
-def _mined(facts: Callable[[SparkSession, str], DataFrame], width: int = WIDTH):
+def mined(facts: Callable[[SparkSession, str], DataFrame], width: int = WIDTH):
     def run(spark: SparkSession, sf_dir: str) -> fd.TemporalRules:
         return fd.temporal_rules(facts(spark, sf_dir), MIN_SUPPORT, MIN_CONFIDENCE, TAU, width, STEP)
 
     return run
 
 
-customer_rules = _mined(customer_facts)
+customer_rules = mined(customer_facts)
 
 
 def _lines(triples: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ def n2_ingest_snapshot(spark, sf_dir):
     return flat(ingested.groupBy("snapshot", "snapshot_ts", "predicate").agg(F.count("*").alias("n")))
 
 
-def _snapshot_files(triples: DataFrame) -> dict[str, tuple[str, datetime]]:
+def snapshot_files(triples: DataFrame) -> dict[str, tuple[str, datetime]]:
     """Write triples as one folder of N-Triples per snapshot."""
     spark = triples.sparkSession
     path = scratch_path(spark, "snapshots-nt")
@@ -235,7 +235,7 @@ def _snapshot_files(triples: DataFrame) -> dict[str, tuple[str, datetime]]:
 
 
 def n3_ingest_snapshots(spark, sf_dir):
-    sources = _snapshot_files(customer_facts(spark, sf_dir))
+    sources = snapshot_files(customer_facts(spark, sf_dir))
     return flat(fd.ingest_snapshots(spark, sources))
 
 
@@ -316,8 +316,8 @@ def p3_window_slice(spark, sf_dir):
 
 
 def p4_changed_entities(spark, sf_dir):
-    width_one = fd.build_transactions(fd.assign_windows(user_facts(spark, sf_dir), 1))
-    return flat(fd.transactions_per_window(fd.changed_entities(width_one)))
+    sizes = fd.transaction_sizes(fd.assign_windows(user_facts(spark, sf_dir), 1))
+    return flat(fd.transactions_per_window(sizes.where("n_items > 1")))
 
 
 ANTECEDENT, CONSEQUENT = "orderStatus=O", "orderStatus=F"
@@ -446,7 +446,7 @@ def _rule_values(rules: DataFrame) -> DataFrame:
 
 
 def m3_rules(spark, sf_dir):
-    return _rule_values(_mined(order_facts)(spark, sf_dir).rules)
+    return _rule_values(mined(order_facts)(spark, sf_dir).rules)
 
 
 def m4_rule_key(spark, sf_dir):
@@ -526,7 +526,7 @@ def o4_top_rules(spark, sf_dir):
 
 def _metric(*columns: str, facts=customer_facts) -> Query:
     def run(spark, sf_dir):
-        return flat(_mined(facts)(spark, sf_dir).metrics.select("rule_key", *columns))
+        return flat(mined(facts)(spark, sf_dir).metrics.select("rule_key", *columns))
 
     return run
 
@@ -541,7 +541,7 @@ def t11_inferred_windows(spark, sf_dir):
 
 def e1_run_pipeline(spark, sf_dir):
     """From N-Triples files to the summary."""
-    sources = _snapshot_files(order_facts(spark, sf_dir))
+    sources = snapshot_files(order_facts(spark, sf_dir))
     summary = fd.run_pipeline(spark, "orders", sources, MIN_SUPPORT, MIN_CONFIDENCE, TAU, WIDTH, STEP)
     return flat(summary.select("dataset", "n_input_triples", "n_rules", "mean_confidence", "mean_support"))
 
@@ -666,5 +666,5 @@ QUERIES: dict[str, Query] = {
     "t8_drift_rate": _metric("confidence_drift_rate"),
     "t9_volatility": _metric("confidence_volatility"),
     "t10_persistence": _metric("persistence_score"),
-    "t12_all_metrics": lambda spark, sf_dir: flat(_mined(user_facts)(spark, sf_dir).metrics),
+    "t12_all_metrics": lambda spark, sf_dir: flat(mined(user_facts)(spark, sf_dir).metrics),
 }

@@ -12,6 +12,7 @@ from .transactions import (
     build_transactions,
     changed_entities,
     fact_items,
+    transaction_sizes,
     transactions_per_window,
 )
 from .windows import (
@@ -44,6 +45,7 @@ __all__ = [
     "rules_with_items",
     "tag_snapshot",
     "top_rules",
+    "transaction_sizes",
     "transactions_per_window",
     "union_all",
     "window_spans",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.items import rule_key
 from ..staging import bounded_join, stage
 from .mining_input import (
+    DictionarySize,
     LongItems,
     MaskedItems,
     items_of_transactions,
@@ -28,6 +29,8 @@ from .windows import WindowPlan
 # Windows whose cuts lie within this ratio share a fit. A shared fit mines down to
 # the smallest cut, so the ratio bounds the itemsets found and dropped again.
 CUT_RATIO = 2.0
+# Assumed size of a row's numbers in a broadcast table, next to its text.
+_ENTRY_BYTES = 64
 
 _ITEMSETS = ["window_id", "items", "freq", "support"]
 _RULES = ["window_id", "rule_key", "antecedent", "consequent", "confidence", "lift", "support"]
@@ -77,17 +80,19 @@ def _mine(
     )
 
     counted = items.rows.groupBy("window_id", "item").agg(F.count("*").alias("freq"))
-    frequent = counted.join(F.broadcast(windows), "window_id").where("freq >= cut")
+    frequent = bounded_join(
+        counted, windows, ["window_id"], _ENTRY_BYTES * len(n_tx), ["item"]
+    ).where("freq >= cut")
     dictionary = stage(items.dictionary(frequent), "frequent-items").frame
     singles = items.singles(dictionary)
-    extent = singles.agg(
-        F.count("*").alias("rows"),
-        F.sum(F.octet_length("item")).alias("bytes"),
+    totals = singles.agg(
+        F.count("*").alias("items"),
+        F.coalesce(F.sum(F.octet_length("item") + _ENTRY_BYTES), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("freq"), F.lit(0)).alias("occurrences"),
     ).first()
-    n_items = extent["rows"]
-    dictionary_bytes = (extent["bytes"] or 0) + 64 * n_items
+    size = DictionarySize(**totals.asDict())
 
-    baskets = stage(items.baskets(dictionary, dictionary_bytes), "baskets")
+    baskets = stage(items.baskets(dictionary, size), "baskets")
     basket_rows = baskets.frame.groupBy("window_id").count().collect()
     n_baskets = {row["window_id"]: row["count"] for row in basket_rows}
 
@@ -97,7 +102,7 @@ def _mine(
             baskets.frame,
             {w: n_baskets[w] for w in group},
             {w: cuts[w] for w in group},
-            n_items,
+            size.items,
         )
         if itemsets is not None:
             found.append(itemsets)
@@ -114,7 +119,7 @@ def _mine(
             union_all(found).withColumn("item_id", F.explode("ids")),
             singles.select("window_id", "item", "item_id", "n_tx", "cut"),
             ["item_id"],
-            dictionary_bytes,
+            size.bytes,
             ["ids"],
         )
         decoded = (
@@ -133,7 +138,7 @@ def _mine(
     itemsets = stage(encoded, "itemsets").frame
     baskets.drop()
     items.staged.drop()
-    return itemsets.select(_ITEMSETS), _rules(itemsets, singles, dictionary_bytes, min_confidence)
+    return itemsets.select(_ITEMSETS), _rules(itemsets, singles, size.bytes, min_confidence)
 
 
 def _rules(

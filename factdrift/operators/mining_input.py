@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..staging import Staged, bounded_join, stage
+from ..staging import Staged, stage, weighted_join
 from .transactions import fact_items, transactions_per_window
 from .windows import WindowPlan, join_plan
 
@@ -22,6 +22,15 @@ MASK_WINDOWS = 8 * _BITS
 _WINDOW_BITS = 9
 
 
+@dataclass(frozen=True)
+class DictionarySize:
+    """Frequent (window, item) pairs, their bytes and how often they occur."""
+
+    items: int
+    bytes: int
+    occurrences: int
+
+
 @dataclass(frozen=True)
 class LongItems:
     """One row per window, entity and item, without duplicates."""
@@ -42,12 +51,12 @@ class LongItems:
     def singles(self, dictionary: DataFrame) -> DataFrame:
         return dictionary
 
-    def baskets(self, dictionary: DataFrame, dictionary_bytes: int) -> DataFrame:
+    def baskets(self, dictionary: DataFrame, size: DictionarySize) -> DataFrame:
         """Numbers of the frequent items of each transaction that has several."""
-        numbers = dictionary.select("window_id", "item", "item_id")
+        numbers = dictionary.select("window_id", "item", "item_id", F.col("freq").alias("weight"))
         on = ["window_id", "item"]
         return (
-            bounded_join(self.rows, numbers, on, dictionary_bytes, [self.entity])
+            weighted_join(self.rows, numbers, on, size.bytes, size.occurrences)
             .groupBy("window_id", self.entity)
             .agg(F.collect_list("item_id").alias("ids"))
             .where(F.size("ids") > 1)
@@ -108,7 +117,9 @@ class MaskedItems:
         number = F.shiftleft(F.monotonically_increasing_id(), _WINDOW_BITS)
         return (
             frequent.groupBy("item")
-            .agg(F.collect_list(per_window).alias("windows"), *marks)
+            .agg(
+                F.collect_list(per_window).alias("windows"), F.sum("freq").alias("weight"), *marks
+            )
             .withColumn("item_id", number)
         )
 
@@ -117,7 +128,7 @@ class MaskedItems:
             "item_id", F.col("item_id") + F.col("window_id")
         )
 
-    def baskets(self, dictionary: DataFrame, dictionary_bytes: int) -> DataFrame:
+    def baskets(self, dictionary: DataFrame, size: DictionarySize) -> DataFrame:
         """Numbers of the frequent items of each transaction that has several.
 
         A fact is shuffled once, not once per window; the windows come apart
@@ -128,12 +139,12 @@ class MaskedItems:
             F.col(word).bitwiseAND(F.col(mark)).alias(word)
             for word, mark in zip(self.words, frequent)
         ]
-        kept = bounded_join(
+        kept = weighted_join(
             self.staged.frame,
-            dictionary.select("item", "item_id", *frequent),
+            dictionary.select("item", "item_id", "weight", *frequent),
             ["item"],
-            dictionary_bytes,
-            ["subject"],
+            size.bytes,
+            size.occurrences,
         ).select("subject", "item_id", *shared)
         any_window = F.lit(False)
         for word in self.words:
@@ -205,20 +216,20 @@ def items_of_triples(
     items = fact_items(triples, include_literals).select("snapshot", "subject", "item")
     if plan.rows is None or plan.n_windows > MASK_WINDOWS:
         spans = ["first_window", "last_window"]
-        tagged = join_plan(items, plan, spans, plan.spans.where("first_window <= last_window"))
+        tagged = join_plan(items, plan, plan.covered, spans)
         window_id = F.explode(F.sequence(*spans)).alias("window_id")
         return _long_items(tagged.select(window_id, "subject", "item").distinct())
 
     words = [f"w{i}" for i in range(max(1, -(-plan.n_windows // _BITS)))]
     masks = triples.sparkSession.createDataFrame(
         [
-            (row["snapshot"], *_mask(row["first_window"], row["last_window"], len(words)))
+            (row["snapshot"], row["n_triples"], *_mask(row["first_window"], row["last_window"], len(words)))
             for row in plan.rows
             if row["first_window"] <= row["last_window"]
         ],
-        ", ".join(["snapshot string", *(f"{word} long" for word in words)]),
+        ", ".join(["snapshot string", "n_triples long", *(f"{word} long" for word in words)]),
     )
-    facts = join_plan(items, plan, words, masks).groupBy("subject", "item").agg(*_merged(words))
+    facts = join_plan(items, plan, masks, words).groupBy("subject", "item").agg(*_merged(words))
     return MaskedItems(stage(facts, "fact-windows"), words, plan.n_windows)
 
 

@@ -32,6 +32,17 @@ def build_transactions(windowed: DataFrame, include_literals: bool = False) -> D
     )
 
 
+def transaction_sizes(windowed: DataFrame, include_literals: bool = False) -> DataFrame:
+    """``window_id, subject, n_items``: transactions counted, not gathered."""
+    return (
+        fact_items(windowed, include_literals)
+        .select("window_id", "subject", "item")
+        .distinct()
+        .groupBy("window_id", "subject")
+        .agg(F.count("*").alias("n_items"))
+    )
+
+
 def changed_entities(transactions: DataFrame) -> DataFrame:
     """Transactions of more than one item: facts that co-occur or changed."""
     return transactions.where(F.size("items") > 1)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..staging import BROADCAST_BYTES, bounded_join, stage
+from ..staging import BROADCAST_BYTES, stage, weighted_join
 
 # Assumed size of one row of the snapshot calendar, ids included.
 _CALENDAR_ROW_BYTES = 256
@@ -117,6 +117,10 @@ class WindowPlan:
     n_windows: int
     n_triples: int
 
+    @property
+    def covered(self) -> DataFrame:
+        return self.spans.where("first_window <= last_window")
+
 
 def plan_windows(
     df: DataFrame, width: int, step: int = 1, include_partial: bool = False
@@ -142,19 +146,21 @@ def plan_windows(
     return WindowPlan(staged, None, totals["snapshots"], totals["last"] + 1, totals["triples"])
 
 
-def join_plan(df: DataFrame, plan: WindowPlan, columns: list[str], side: DataFrame) -> DataFrame:
-    """Join triples to per-snapshot ``columns`` of ``side``, pruning the rest."""
+def join_plan(df: DataFrame, plan: WindowPlan, side: DataFrame, columns: list[str]) -> DataFrame:
+    """Join triples to per-snapshot ``columns`` of ``side``, pruning the rest.
+
+    ``side`` has one row per covered snapshot, with its ``n_triples``.
+    """
     if plan.rows is not None:
         covered = [r["snapshot"] for r in plan.rows if r["first_window"] <= r["last_window"]]
         if len(covered) < plan.n_snapshots and len(covered) <= _PRUNE_LIST:
             df = df.where(F.col("snapshot").isin(covered))
-    spread = [name for name in ("subject", "predicate", "object") if name in df.columns]
-    return bounded_join(
+    return weighted_join(
         df,
-        side.select("snapshot", *columns),
+        side.select("snapshot", F.col("n_triples").alias("weight"), *columns),
         ["snapshot"],
         plan.n_snapshots * _CALENDAR_ROW_BYTES,
-        spread,
+        plan.n_triples,
     )
 
 
@@ -173,7 +179,7 @@ def assign_windows(
     """
     _check(width, step)
     plan = plan or plan_windows(df, width, step, include_partial)
-    joined = join_plan(df, plan, ["first_window", "last_window"], plan.spans)
+    joined = join_plan(df, plan, plan.covered, ["first_window", "last_window"])
     return joined.select(
         *(F.col(name) for name in df.columns), F.explode(_window_ids()).alias("window_id")
     )

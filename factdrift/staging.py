@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 # A side of a join is broadcast only below this size; see bounded_join.
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
+# Bounds of what weighted_join broadcasts when it splits: count and length of keys.
+HEAVY_KEYS = 10_000
+HEAVY_KEY_BYTES = 4096
 
 _local_roots: dict[str, str] = {}
 
@@ -86,3 +89,28 @@ def bounded_join(
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(repeated, [*on, "_salt"], "inner").drop("_salt")
+
+
+def weighted_join(
+    big: DataFrame,
+    small: DataFrame,
+    on: list[str],
+    small_bytes: int,
+    total_weight: int,
+) -> DataFrame:
+    """Inner equi-join with a ``small`` side that knows how often its keys occur.
+
+    ``small`` holds every key of ``on`` once and its number of rows on the big
+    side, or an upper bound of it, in ``weight``. When it is too large to broadcast whole, the
+    keys above ``1 / HEAVY_KEYS`` of ``total_weight``, of which there are at most
+    ``HEAVY_KEYS``, are broadcast and never shuffled; no other key can be hot.
+    """
+    plain = small.drop("weight")
+    if small_bytes <= BROADCAST_BYTES:
+        return big.join(F.broadcast(plain), on, "inner")
+    width = sum((F.octet_length(F.col(key).cast("string")) for key in on), F.lit(0))
+    heavy = (F.col("weight") * HEAVY_KEYS > total_weight) & (width <= HEAVY_KEY_BYTES)
+    hot = small.where(heavy).drop("weight")
+    rest = small.where(~heavy).drop("weight")
+    cold = big.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return big.join(F.broadcast(hot), on, "inner").unionByName(cold.join(rest, on, "inner"))

@@ -308,7 +308,7 @@ def _transactions(spark, sf_dir):
 
 
 def _sorted_items(transactions: DataFrame) -> DataFrame:
-    return flat(transactions.withColumn("items", F.array_sort("items")))
+    return flat(transactions.withColumn("items", F.sort_array("items")))
 
 
 def p3_window_slice(spark, sf_dir):

@@ -18,8 +18,8 @@ def item_token(predicate: Column | str = "predicate", obj: Column | str = "objec
 
 def rule_key(antecedent: Column | str, consequent: Column | str) -> Column:
     """A label for a rule that does not depend on the order of its items."""
-    left = F.array_join(F.array_sort(antecedent), KEY_SEPARATOR)
-    right = F.array_join(F.array_sort(consequent), KEY_SEPARATOR)
+    left = F.array_join(F.sort_array(antecedent), KEY_SEPARATOR)
+    right = F.array_join(F.sort_array(consequent), KEY_SEPARATOR)
     return F.concat(left, F.lit(KEY_ARROW), right)
 
 

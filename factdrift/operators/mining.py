@@ -61,14 +61,14 @@ def _larger_itemsets(baskets: DataFrame, sizes: dict[int, int], cuts: dict[int,
         numPartitions=max(1, min(n_items, parallelism)),
     ).fit(baskets.where(F.col("window_id").isin(list(sizes))).select("ids"))
     return model.freqItemsets.where(F.size("items") > 1).select(
-        F.array_sort("items").alias("ids"), "freq"
+        F.sort_array("items").alias("ids"), "freq"
     )
 
 
 def _mine(
     items: LongItems | MaskedItems, min_support: float, min_confidence: float, cut_ratio: float
 ) -> tuple[DataFrame, DataFrame]:
-    spark = items.rows.sparkSession
+    spark = items.staged.frame.sparkSession
     # One row per window.
     n_tx = {row["window_id"]: row["n_transactions"] for row in items.sizes.collect()}
     if not n_tx:
@@ -125,7 +125,7 @@ def _mine(
         decoded = (
             members.where("freq >= cut")
             .groupBy("window_id", "ids", "freq", "n_tx")
-            .agg(F.array_sort(F.collect_list("item")).alias("items"))
+            .agg(F.sort_array(F.collect_list("item")).alias("items"))
             .select(
                 "window_id",
                 "ids",

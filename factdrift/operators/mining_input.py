@@ -17,6 +17,7 @@ from .transactions import fact_items, transactions_per_window
 from .windows import WindowPlan, join_plan
 
 _BITS = 64
+_WORD_SHIFT = 6
 # Up to this many windows a fact's windows are bits of a few longs.
 MASK_WINDOWS = 8 * _BITS
 _WINDOW_BITS = 9
@@ -107,7 +108,7 @@ class MaskedItems:
         marks = [
             F.bit_or(
                 F.when(
-                    F.floor(F.col("window_id") / _BITS) == i,
+                    F.shiftright("window_id", _WORD_SHIFT) == i,
                     _bit(F.col("window_id") - i * _BITS),
                 ).otherwise(F.lit(0).cast("long"))
             ).alias(f"f{i}")

@@ -92,7 +92,7 @@ def build_windows(
     members = window_spans(snapshots, width, step, include_partial).select(
         F.explode(_window_ids()).alias("window_id"), "position", "snapshot"
     )
-    in_order = F.array_sort(F.collect_list(F.struct("position", "snapshot")))
+    in_order = F.sort_array(F.collect_list(F.struct("position", "snapshot")))
     return (
         members.groupBy("window_id")
         .agg(in_order.alias("_members"))

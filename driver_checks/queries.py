@@ -458,7 +458,7 @@ def m4_rule_key(spark, sf_dir):
 
 
 def m5_every_window(spark, sf_dir):
-    itemsets, rules = fd.mine_rules(_transactions(spark, sf_dir), MIN_SUPPORT, MIN_CONFIDENCE, cut_ratio=0)
+    itemsets, rules = fd.mine(_windowed(spark, sf_dir), MIN_SUPPORT, MIN_CONFIDENCE, cut_ratio=0)
     found = itemsets.select("window_id", F.lit("itemset").alias("what")).unionAll(
         rules.select("window_id", F.lit("rule"))
     )
@@ -495,7 +495,7 @@ def u1_union_snapshots(spark, sf_dir):
 
 
 def u2_union_windows(spark, sf_dir):
-    itemsets, _ = fd.mine_rules(_transactions(spark, sf_dir), MIN_SUPPORT, MIN_CONFIDENCE, cut_ratio=0)
+    itemsets, _ = fd.mine(_windowed(spark, sf_dir), MIN_SUPPORT, MIN_CONFIDENCE, cut_ratio=0)
     return flat(itemsets)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.items import rule_key
-from ..staging import bounded_join, stage
+from ..staging import Staged, bounded_join, stage
 from .mining_input import (
     DictionarySize,
     LongItems,
@@ -47,10 +47,11 @@ def _cohorts(cuts: dict[int, int], ratio: float) -> list[list[int]]:
     return groups
 
 
-def _larger_itemsets(baskets: DataFrame, sizes: dict[int, int], cuts: dict[int, int], n_items: int):
-    """FP-Growth over the baskets of some windows, as ``ids`` and ``freq``."""
+def _larger_itemsets(
+    baskets: DataFrame, sizes: dict[int, int], least: int, n_items: int
+) -> DataFrame | None:
+    """FP-Growth over some windows' baskets, down to a count of ``least``."""
     total = sum(sizes.values())
-    least = min(cuts.values())
     if total < least:
         return None
     parallelism = baskets.sparkSession.sparkContext.defaultParallelism
@@ -68,11 +69,26 @@ def _larger_itemsets(baskets: DataFrame, sizes: dict[int, int], cuts: dict[int,
 def _mine(
     items: LongItems | MaskedItems, min_support: float, min_confidence: float, cut_ratio: float
 ) -> tuple[DataFrame, DataFrame]:
+    scrap = [items.staged]
+    try:
+        return _mine_staged(items, min_support, min_confidence, cut_ratio, scrap)
+    finally:
+        for staged in scrap:
+            staged.drop()
+
+
+def _mine_staged(
+    items: LongItems | MaskedItems,
+    min_support: float,
+    min_confidence: float,
+    cut_ratio: float,
+    scrap: list[Staged],
+) -> tuple[DataFrame, DataFrame]:
+    """Mine; tables the results do not read are added to ``scrap``."""
     spark = items.staged.frame.sparkSession
     # One row per window.
     n_tx = {row["window_id"]: row["n_transactions"] for row in items.sizes.collect()}
     if not n_tx:
-        items.staged.drop()
         raise ValueError("No windows to mine: there are no transactions.")
     cuts = {w: max(1, math.ceil(min_support * n)) for w, n in n_tx.items()}
     windows = spark.createDataFrame(
@@ -93,21 +109,10 @@ def _mine(
     size = DictionarySize(**totals.asDict())
 
     baskets = stage(items.baskets(dictionary, size), "baskets")
-    basket_rows = baskets.frame.groupBy("window_id").count().collect()
-    n_baskets = {row["window_id"]: row["count"] for row in basket_rows}
-
-    found = []
-    for group in _cohorts({w: cuts[w] for w in n_baskets}, cut_ratio):
-        itemsets = _larger_itemsets(
-            baskets.frame,
-            {w: n_baskets[w] for w in group},
-            {w: cuts[w] for w in group},
-            size.items,
-        )
-        if itemsets is not None:
-            found.append(itemsets)
+    scrap.append(baskets)
+    found = _fits(baskets.frame, cuts, cut_ratio, size.items)
 
-    encoded = singles.select(
+    known = singles.select(
         "window_id",
         F.array("item_id").alias("ids"),
         F.array("item").alias("items"),
@@ -115,32 +120,43 @@ def _mine(
         (F.col("freq") / F.col("n_tx")).alias("support"),
     )
     if found:
-        members = bounded_join(
-            union_all(found).withColumn("item_id", F.explode("ids")),
-            singles.select("window_id", "item", "item_id", "n_tx", "cut"),
-            ["item_id"],
-            size.bytes,
-            ["ids"],
-        )
-        decoded = (
-            members.where("freq >= cut")
-            .groupBy("window_id", "ids", "freq", "n_tx")
-            .agg(F.sort_array(F.collect_list("item")).alias("items"))
-            .select(
-                "window_id",
-                "ids",
-                "items",
-                "freq",
-                (F.col("freq") / F.col("n_tx")).alias("support"),
-            )
-        )
-        encoded = encoded.unionByName(decoded)
-    itemsets = stage(encoded, "itemsets").frame
-    baskets.drop()
-    items.staged.drop()
+        known = known.unionByName(_decoded(union_all(found), singles, size.bytes))
+    itemsets = stage(known, "itemsets").frame
     return itemsets.select(_ITEMSETS), _rules(itemsets, singles, size.bytes, min_confidence)
 
 
+def _fits(
+    baskets: DataFrame, cuts: dict[int, int], cut_ratio: float, n_items: int
+) -> list[DataFrame]:
+    """Fit the windows that have baskets, group by group."""
+    counts = baskets.groupBy("window_id").agg(F.count("*").alias("n")).collect()
+    sizes = {row["window_id"]: row["n"] for row in counts}
+    fits = [
+        _larger_itemsets(baskets, {w: sizes[w] for w in group}, cuts[group[0]], n_items)
+        for group in _cohorts({w: cuts[w] for w in sizes}, cut_ratio)
+    ]
+    return [fit for fit in fits if fit is not None]
+
+
+def _decoded(found: DataFrame, singles: DataFrame, dictionary_bytes: int) -> DataFrame:
+    """Look the items of encoded itemsets up and apply each window's own cut."""
+    members = bounded_join(
+        found.withColumn("item_id", F.explode("ids")),
+        singles.select("window_id", "item", "item_id", "n_tx", "cut"),
+        ["item_id"],
+        dictionary_bytes,
+        ["ids"],
+    )
+    return (
+        members.where("freq >= cut")
+        .groupBy("window_id", "ids", "freq", "n_tx")
+        .agg(F.sort_array(F.collect_list("item")).alias("items"))
+        .select(
+            "window_id", "ids", "items", "freq", (F.col("freq") / F.col("n_tx")).alias("support")
+        )
+    )
+
+
 def _rules(
     itemsets: DataFrame, singles: DataFrame, dictionary_bytes: int, min_confidence: float
 ) -> DataFrame:

@@ -103,7 +103,8 @@ class MaskedItems:
     def dictionary(self, frequent: DataFrame) -> DataFrame:
         """Number every frequent item and mark the windows it is frequent in.
 
-        The lowest bits of a number are left free for the window.
+        The lowest bits of a number are left free for the window, which leaves room
+        for two million partitions.
         """
         marks = [
             F.bit_or(

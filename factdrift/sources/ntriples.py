@@ -33,13 +33,13 @@ TRIPLE_SCHEMA = T.StructType(
 # Fields are separated by U+0001, which no term but a literal may hold; the
 # literal therefore comes last and is never split.
 _SEP = "\x01"
-_IRI = rf"<([^>{_SEP}]+)>"
+_IRI = rf"<([^>{_SEP}]++)>"
 _BLANK = rf'(_:[^\s<>"{_SEP}]+)'
 # Possessive and unrolled: constant stack depth, however long the literal is.
 _HEX = "[0-9A-Fa-f]"
 _ESCAPE = rf"\\(?:u{_HEX}{{4}}|U00(?:0{_HEX}|10){_HEX}{{4}}|[^uU])"
 _LITERAL = rf'"([^"\\]*+(?:{_ESCAPE}[^"\\]*+)*+)"'
-_SUFFIX = rf"(?:\^\^{_IRI}|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
+_SUFFIX = rf"(?:\^\^{_IRI}|@([A-Za-z]++(?:-[A-Za-z0-9]++)*+))?"
 _STATEMENT = (
     rf"\A\s*(?:{_IRI}|{_BLANK})\s*{_IRI}\s*"
     rf"(?:{_IRI}|{_BLANK}|{_LITERAL}{_SUFFIX})\s*\.\s*(?:#.*)?\z"

@@ -3,6 +3,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import factdrift.operators.mining as mining
 import factdrift.operators.mining_input as mining_input
 import factdrift.staging as staging
 import pytest
@@ -83,6 +84,29 @@ def test_nothing_to_mine(spark):
         mine_rules(build_transactions(windowed(spark, *TEAM).limit(0)))
 
 
+def test_window_wider_than_the_snapshots(spark):
+    frame, _ = random_triples(spark, 2, 6, seed=1)
+    plan = plan_windows(frame, 3)
+    assert plan.n_windows == 0
+    with pytest.raises(ValueError):
+        mine_triples(frame, plan)
+
+
+def test_staged_inputs_are_deleted(spark, monkeypatch):
+    written = []
+
+    def recorded(df, label):
+        written.append(staging.stage(df, label))
+        return written[-1]
+
+    monkeypatch.setattr(mining_input, "stage", recorded)
+    monkeypatch.setattr(mining, "stage", recorded)
+    _, rules = mine(windowed(spark, *TEAM), 0.5, 0.5)
+    left = [s.path for s in written if spark._jvm.java.io.File(s.path).exists()]
+    assert [path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in left] == ["frequent-items", "itemsets"]
+    assert rules.count() == 2
+
+
 def test_no_frequent_items(spark):
     df = windowed(spark, *((f"e{i}", "p", f"o{i}", "iri", 0) for i in range(4)))
     itemsets, rules = mine(df, 0.5, 0.5)

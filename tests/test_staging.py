@@ -1,3 +1,6 @@
+from pathlib import Path
+from types import SimpleNamespace
+
 import factdrift.staging as staging
 import pytest
 from factdrift.staging import bounded_join, stage, weighted_join
@@ -45,7 +48,20 @@ def test_stage_and_drop(spark):
         spark.read.parquet(staged.path).count()
 
 
-def test_the_session_names_the_folder(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        assert staging.staging_root(spark) == configured.rstrip("/")
+def session_like(master, folder=None):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else default),
+        sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"),
+    )
+
+
+def test_the_session_names_the_folder():
+    assert staging.staging_root(session_like("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.staging_root(session_like("yarn"))
+
+
+def test_a_local_session_gets_a_folder_of_its_own():
+    session = session_like("local[2]")
+    root = staging.staging_root(session)
+    assert Path(root).is_dir() and staging.staging_root(session) == root

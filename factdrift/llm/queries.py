@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factdrift.llm import bpe_chunks, packing, token_counts
+from factdrift.llm import bpe_chunks, chat, packing, pii, secrets, token_counts
 from factdrift.llm.common import table
+from factdrift.llm.spans import digest_columns
 
 TOKENIZER = "byte_bpe_50k.json"
 PACK_END = 1
@@ -19,6 +21,32 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *digest_columns(spans, pii.base_only(spans), pii.KINDS))
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, whose rows are records of one turn, and one record of two turns."""
+    words = r"\### Assistant: </turn> ok"
+    pair = spark.range(1).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.lit(0).cast("long").alias("position"),
+        F.to_json(F.struct(F.lit(words).alias("prompt"), F.lit(words).alias("response"))).alias("record"),
+    )
+    records = chat.as_records(table(spark, sf_dir, "conversations")).unionByName(pair)
+    return chat.digest_conversations(chat.format_turns(chat.canonical_turns(records)))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(secrets.BASE_KINDS))
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).select(
+        "doc_id", *digest_columns(spans, base, secrets.BASE_KINDS)
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), PACK_END)
 
@@ -33,6 +61,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_chat": op2_chat,
+    "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
     "op7_bpe": op7_bpe,

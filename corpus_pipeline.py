@@ -1,8 +1,59 @@
-"""The training-data pipeline: stages over ``documents``, each calling one of the operators."""
+"""The training-data pipeline: stages over ``documents``, each calling one of the operators.
+
+Every stage takes what its predecessor kept and reads it from Parquet in the shared folder.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factdrift.llm import packing, pii, quality, simhash
+from factdrift.llm.common import table
+from factdrift.llm.queries import PACK_END, tokenizer_path
+from factdrift.staging import stage
+
+
+def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from ``labels``, does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates."""
+    return simhash.keep_one(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path(), PACK_END)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_good_documents),
+    ("simhash near-dedup", keep_one_of_each_group),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+# A trained classifier, fingerprints of hashes and a tokenizer: not for SQL.
 ORACLE_SQL = None
-PIPELINE_QUERIES: dict = {}
-PIPELINE_ORACLES: dict = {}
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir), name.replace(" ", "-")).frame
+    return docs
+
+
+PIPELINE_QUERIES = {"pipeline": run}
+PIPELINE_ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factdrift.llm import bpe_chunks, chat, packing, pii, secrets, token_counts
+from factdrift.llm import bpe_chunks, chat, minhash, packing, pii, quality, secrets, simhash, token_counts, vectors
 from factdrift.llm.common import table
 from factdrift.llm.spans import digest_columns
 
@@ -56,17 +56,39 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_TEXT)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.digest_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return simhash.group(table(spark, sf_dir, "documents")).select("doc_id", fingerprint, "component_id")
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.group(table(spark, sf_dir, "embeddings"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.compare_with_next(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_chat": op2_chat,
     "op3_secrets": op3_secrets,
     "op4_packing": op4_packing,
     "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_simhash": op8_simhash,
+    "op9_vectors": op9_vectors,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}

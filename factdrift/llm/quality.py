@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factdrift.llm.common import PrefixHash, blocks, code_points, map_batches, ship, strings
+from factdrift.llm.common import PrefixHash, blocks, code_points, map_batches, mix, ship, strings
 
 BITS = 18
 FIT_ROWS = 6_000
@@ -22,7 +22,7 @@ _ALPHA, _COST, _ROUNDS = 1.0, 1.0, 10
 
 
 def features(texts: list[str]) -> Iterator[np.ndarray]:
-    """The indicators of each text: words, pairs of words and runs of three characters."""
+    """The indicators of each text: words, pairs of words, runs of three characters, repeats."""
     for first, last in blocks(map(len, texts), BLOCK):
         yield from _block_features(texts[first:last])
 
@@ -36,7 +36,10 @@ def _block_features(texts: list[str]) -> Iterator[np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     bounds = np.searchsorted(starts, ends_of_text)
-    singles = _buckets(hashes.spans(starts, ends))
+    words = hashes.spans(starts, ends)
+    singles = _buckets(words)
+    # Pairs of a word and itself, whatever the word: one indicator for each level of their share.
+    again = np.append(0, np.cumsum(np.append(False, words[1:] == words[:-1])))
     pairs = _buckets(hashes.spans(starts[:-1], ends[1:]))
     at = np.arange(max(len(chars) - 2, 0))
     triples = _buckets(hashes.spans(at, at + 3))
@@ -46,6 +49,8 @@ def _block_features(texts: list[str]) -> Iterator[np.ndarray]:
         seen[singles[a:b]] = True
         seen[pairs[a : max(b - 1, a)]] = True
         seen[triples[t : max(u - 3, t)]] = True
+        share = (again[b] - again[min(a + 1, b)]) / max(b - a - 1, 1)
+        seen[_LEVELS[: int(np.ceil(share * len(_LEVELS)))]] = True
         found = np.flatnonzero(seen)
         seen[found] = False
         a, t = b, u
@@ -56,6 +61,9 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+_LEVELS = _buckets(mix(np.arange(1, 33, dtype=np.uint64)))
+
+
 @dataclass
 class Model:
     """Weights and squared ratios of each indicator; bias; the margin's slope and shift."""

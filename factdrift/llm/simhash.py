@@ -22,6 +22,7 @@ from factdrift.staging import stage
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 HALF = 32
 SPLIT_ABOVE = 4096
+HOT_KEYS = 10_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -151,13 +152,23 @@ def group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     are ignored.
     """
     found = stage(fingerprints(docs, shingle), "fingerprints").frame
-    nodes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints").frame
+    counted = found.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
+    nodes = stage(counted, "distinct-fingerprints").frame
     linked = components(find_links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
     named = linked.join(nodes, "fp")
     smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_linked = named.join(smallest, "root").select("fp", "component_id")
-    named_nodes = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
-    return found.join(named_nodes, "fp").select("doc_id", "fp", "component_id")
+    named_nodes = stage(
+        nodes.join(of_linked, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first_doc").alias("component_id")),
+        "named-fingerprints",
+    ).frame
+    # Fingerprints of more than 1 / HOT_KEYS of all rows: HOT_KEYS of them at most, so their
+    # broadcast is bounded and no key of the other join holds more than that share.
+    rows = nodes.agg(F.sum("copies")).first()[0] or 0
+    hot = F.broadcast(named_nodes.where(F.col("copies") * HOT_KEYS > rows).drop("copies"))
+    cold = named_nodes.where(F.col("copies") * HOT_KEYS <= rows).drop("copies")
+    rest = found.join(hot.select("fp"), "fp", "left_anti")
+    return found.join(hot, "fp").unionByName(rest.join(cold, "fp")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:

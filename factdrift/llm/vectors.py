@@ -55,7 +55,7 @@ def directions(dimension: int, projections: int) -> np.ndarray:
 
 def classes(vectors: DataFrame) -> DataFrame:
     """Distinct valid vectors of a label: label, embedding, node (smallest vec_id), copies."""
-    usable = F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
+    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     return (
         vectors.select("vec_id", "label", "embedding")
         .where(F.coalesce(usable, F.lit(False)))
@@ -197,7 +197,7 @@ def group(vectors: DataFrame, cosine: float = COSINE, projections: int = PROJECT
     Equal vectors of a label are one node that counts its copies, so copies are never
     paired. Links hold only between equal, non-null labels and equal dimensions; a vector
     that is null, zero or holds a null or a value that is not finite links with nothing,
-    not even its copy. Repeated rows stay; a null vec_id is its own component, kept false.
+    not even its copy; nor does a row without vec_id, whose component is null. Repeated rows stay.
     An empty table gives no rows, further columns are ignored.
     """
     distinct = stage(classes(vectors), "distinct-vectors").frame
@@ -212,10 +212,11 @@ def group(vectors: DataFrame, cosine: float = COSINE, projections: int = PROJECT
         F.coalesce("root", "node").alias("component_id"),
     )
     found = vectors.select("vec_id", "label", "embedding").join(named, ["label", "embedding"], "left")
-    component = F.coalesce("component_id", F.col("vec_id").cast("long"))
+    named_row = F.col("vec_id").isNotNull()
+    component = F.when(named_row, F.coalesce("component_id", F.col("vec_id").cast("long")))
     return found.select(
         "vec_id",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.when(named_row, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from factdrift.llm.common import PrefixHash, blocks, code_points, map_batches, mix, ship, strings
 
 BITS = 18
-FIT_ROWS = 6_000
+FIT_ROWS = 3_000
 FOLDS = 5
 KEEP = 0.3
 BLOCK = 1 << 18
@@ -103,13 +103,13 @@ def _support_vectors(rows: list[np.ndarray], labels: np.ndarray, seed: int) -> M
     values = []
     for row in rows:
         value = ratios[row]
-        values.append(value / max(np.sqrt((value**2).sum()), 1e-9))
+        values.append((value / max(np.sqrt((value**2).sum()), 1e-9)).astype(np.float32))
     # max(0, 1 - y (w x + b)) in its dual; the bias is one more indicator that is always on.
     w, bias, dual = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
     y = 2.0 * labels - 1
     share = np.bincount(labels, minlength=2) / len(labels)
     cost = _COST * np.where(labels == 1, 0.5 / share[1], 0.5 / share[0])
-    size = np.array([(v**2).sum() + 1 for v in values])
+    size = np.array([float((v**2).sum()) + 1 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(_ROUNDS):
         for i in rng.permutation(len(rows)):
@@ -169,9 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
             found = list(features(strings(batch.column(2))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "quality", "on"])
 
-    frame = map_batches(joined, run, "doc_id long, quality int, on array<int>").toPandas()
-    frame = frame.sort_values("doc_id", kind="stable")
-    return fit([np.asarray(x, np.int32) for x in frame["on"]], frame["quality"].to_numpy(np.int64))
+    found = map_batches(joined, run, "doc_id long, quality int, on array<int>").toArrow()
+    order = np.argsort(found["doc_id"].to_numpy(), kind="stable")
+    rows = [x.values.to_numpy() for x in found["on"]]
+    return fit([rows[i] for i in order], found["quality"].to_numpy()[order].astype(np.int64))
 
 
 def score(text: Column, docs: DataFrame, model: Model) -> Column:

@@ -270,16 +270,15 @@ def find_personal(text: str, weights: Weights) -> list[tuple[str, int, int, bool
 def train(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Weights:
     """Weights from at most ``sample_documents`` documents with a digit or an @.
 
-    They are those whose doc_ids hash lowest, so the sample does not depend on how the
+    They are those whose doc_id and text hash lowest, so the sample does not depend on how the
     table is stored. Only their nodes reach the driver.
     """
-    sample = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .where(F.col("text").rlike("@|[0-9]{7}|[0-9]\\.[0-9]"))
-        .select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
-        .orderBy("h", "doc_id")
-        .limit(sample_documents)
+    hashed = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("h")).where(
+        F.col("text").rlike("@|[0-9]{7}|[0-9]\\.[0-9]")
     )
+    # Hashes alone are ordered; at most sample_documents of them are broadcast.
+    chosen = hashed.select("h").distinct().orderBy("h").limit(sample_documents)
+    sample = hashed.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

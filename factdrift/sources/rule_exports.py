@@ -10,24 +10,47 @@ CONFIDENCE_MEASURES = ("cwaconfidence", "confidence", "pcaconfidence")
 SUPPORT_MEASURES = ("headcoverage", "support")
 
 
-def read_rule_export(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+def _parsed(texts: DataFrame) -> DataFrame:
+    """Add ``document`` and ``is_json``, which is false for text after the value too.
+
+    The parser stops at the end of the first value, so every text is parsed as
+    part of an array that ends with the text's own hash.
+    """
+    mark = F.xxhash64("value")
+    framed = F.concat(F.lit("["), "value", F.lit(","), mark.cast("string"), F.lit("]"))
+    pair = F.try_variant_get(F.try_parse_json(framed), "$", "array<variant>")
+    # The generator keeps the optimizer from parsing once more for every use.
+    parsed = texts.select("*", F.explode(F.array(pair)).alias("_pair"))
+    whole = (F.size("_pair") == 2) & (F.try_variant_get(F.get("_pair", 1), "$", "bigint") == mark)
+    return parsed.select(
+        *texts.columns,
+        F.get("_pair", 0).alias("document"),
+        F.coalesce(whole, F.lit(False)).alias("is_json"),
+    )
+
+
+def read_rule_export(spark: SparkSession, path: str) -> DataFrame:
     """Read exported rules, one per row, in variant column ``rule``.
 
-    A file holds one JSON object per line or one array of objects. Lines are
-    read in parallel; a document spread over several lines (``multi_line``) is
-    one task's work. By default the first line decides which of the two it is.
+    A file holds JSON values on lines of their own or one value spread over
+    lines, a value being an object or an array of objects. All lines of a file
+    decide which of the two it is: a first pass looks for files with a line that
+    is no JSON value. Files of lines are read in parallel, the others as whole
+    texts, one task each, up to the size of a variant. Anything that is not
+    JSON fails the job.
     """
-    if multi_line is None:
-        first = (
-            spark.read.text(path)
-            .where(F.col("value").rlike(r"\S"))
-            .select(F.try_parse_json("value").isNull().alias("incomplete"))
-            .first()
-        )
-        multi_line = first is not None and first["incomplete"]
-    documents = spark.read.options(
-        singleVariantColumn="document", multiLine=multi_line, mode="FAILFAST"
-    ).json(path)
+    file = F.col("_metadata.file_path").alias("file")
+    lines = spark.read.text(path).select("value", file).where(F.col("value").rlike(r"\S"))
+    # Names only, of files that the driver has listed anyway.
+    broken = _parsed(lines).where(~F.col("is_json")).select("file").distinct()
+    spread = [row["file"] for row in broken.collect()]
+    texts = lines
+    if spread:
+        in_spread = F.col("file").isin(spread)
+        whole = spark.read.text(path, wholetext=True).select("value", file)
+        texts = lines.where(~in_spread).unionByName(whole.where(in_spread))
+    error = F.raise_error(F.concat(F.lit("Not JSON: a text in "), "file")).cast("boolean")
+    documents = _parsed(texts).where(F.when(F.col("is_json"), True).otherwise(error))
     as_array = F.try_variant_get("document", "$", "array<variant>")
     return documents.select(F.explode(F.coalesce(as_array, F.array("document"))).alias("rule"))
 

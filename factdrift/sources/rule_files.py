@@ -2,85 +2,119 @@
 
 from __future__ import annotations
 
-import csv
-from functools import reduce
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import bounded_join, stage
+
 _FILES = "*.{csv,tsv,txt}"
 # What counts as a number; anything else in a measure column is ignored.
 _NUMBER = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|nan|inf|infinity)\s*$"
 
 
-def _number(name: str | None) -> Column:
-    if name is None:
-        return F.lit(None).cast("double")
-    return F.when(F.col(name).rlike(_NUMBER), F.col(name).try_cast("double"))
+# Size of a file's numbers in a broadcast layout, next to its name.
+_LAYOUT_BYTES = 64
 
 
-def _first_lines(spark: SparkSession, directory: str) -> DataFrame:
-    lines = spark.read.option("pathGlobFilter", _FILES).text(directory)
-    return (
-        lines.select(
-            "value",
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("start"),
-            F.monotonically_increasing_id().alias("row"),
-        )
-        .where("start = 0")
-        .groupBy("file")
-        .agg(F.min_by("value", "row").alias("line"))
+def _number(cell: Column) -> Column:
+    return F.when(cell.rlike(_NUMBER), cell.try_cast("double"))
+
+
+def _layouts(lines: DataFrame, delimiter: str) -> DataFrame:
+    """Per file: where its measures are, and whether every line is a row.
+
+    ``confidence`` and ``support`` count cells from 1; 0 means no such column,
+    and both are 0 in a file without header. A line of whole cells ends outside
+    quotes, so if all lines are such, no quoted cell holds a line break.
+    """
+    sep = re.escape(delimiter)
+    cell = rf'(?:"(?:[^"]++|"")*+"|[^"{sep}]*+)'
+    first = F.min_by("value", F.struct("start", "row"))
+    files = lines.groupBy("file").agg(
+        first.alias("line"),
+        F.bool_and(F.col("value").rlike(rf"(?s)\A{cell}(?:{sep}{cell})*+\z")).alias("by_line"),
+    )
+    # A first cell may be empty; the delimiter in front makes every match longer than nothing.
+    cells = F.regexp_extract_all(
+        F.concat(F.lit(delimiter), "line"), F.lit(rf"{sep}({cell})"), F.lit(1)
+    )
+    names = F.transform(cells, lambda c: F.lower(F.regexp_replace(c, r'^"?\s*|\s*"?$', "")))
+    split_header = ~F.col("by_line") & (F.regexp_count("line", F.lit('"')) % 2 == 1)
+    has_measure = F.col("line").rlike("(?i)support|confidence")
+    broken = F.concat(F.lit("Line break in the header of "), "file")
+    return files.withColumn("names", names).select(
+        "file",
+        F.when(split_header & has_measure, F.raise_error(broken).cast("boolean"))
+        .otherwise(F.col("by_line"))
+        .alias("by_line"),
+        F.array_position("names", "confidence").cast("int").alias("confidence"),
+        F.array_position("names", "support").cast("int").alias("support"),
     )
 
 
-def rules_file_summary(
-    spark: SparkSession, directory: str, delimiter: str = ",", multi_line: bool = False
-) -> DataFrame:
+def rules_file_summary(spark: SparkSession, directory: str, delimiter: str = ",") -> DataFrame:
     """Count the rules in a folder and average their confidence and support.
 
     A file has a header if its first row names a ``support`` or ``confidence``
-    column, in any case; without one its rows are only counted. Files with the
-    same header are read in one scan. ``multi_line`` allows quoted line breaks,
-    at the price of one task per file.
+    column, in any case; without one its rows are only counted. Line breaks in
+    quotes are part of their cell. Files without them are split over tasks;
+    only those that have some are read by one task each. A header that names a
+    measure and has a line break on its first line is an error.
     """
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in _first_lines(spark, directory).collect():
-        cells = next(csv.reader([row["line"]], delimiter=delimiter), [])
-        header = tuple(cell.strip().lower() for cell in cells)
-        if "support" not in header and "confidence" not in header:
-            header = ()
-        layouts.setdefault(header, []).append(row["file"])
-
-    def measured(header: tuple[str, ...], files: list[str]) -> DataFrame:
-        if not header:
-            unquoted = F.translate("value", delimiter + '"', "")
-            rows = spark.read.text(files).where(unquoted.rlike(r"\S"))
-            return rows.select(_number(None).alias("confidence"), _number(None).alias("support"))
-        names = [f"c{i}" for i in range(len(header))]
-        rows = (
-            spark.read.schema(", ".join(f"{name} string" for name in names))
-            .options(header=True, sep=delimiter, quote='"', escape='"', multiLine=multi_line)
-            .csv(files)
+    file = F.col("_metadata.file_path")
+    lines = spark.read.option("pathGlobFilter", _FILES).text(directory)
+    placed = lines.select(
+        "value",
+        file.alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    layouts = stage(_layouts(placed, delimiter), "rule-layouts")
+    try:
+        has_header = F.col("confidence") + F.col("support") > 0
+        totals = layouts.frame.agg(
+            F.count_if(has_header).alias("headers"),
+            F.coalesce(F.max(F.greatest("confidence", "support")), F.lit(0)).alias("width"),
+            F.coalesce(F.sum(F.octet_length("file") + _LAYOUT_BYTES), F.lit(0)).alias("bytes"),
+        ).first()
+        # Names only, of files that the driver has listed anyway.
+        by_record = [row["file"] for row in layouts.frame.where(~F.col("by_line")).collect()]
+        names = [f"c{i}" for i in range(max(1, totals["width"]))]
+        schema = ", ".join(f"{name} string" for name in [*names, "raw"])
+        options = {"sep": delimiter, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": "raw"}
+        blank = rf'\A(?:"\s*+"|\s|{re.escape(delimiter)})*+\z'
+        rows = lines.where(~F.col("value").rlike(blank)).select(
+            F.from_csv("value", schema, options).alias("cells"), file.alias("file")
         )
-        cells = F.concat_ws("", *names)
-
-        def column(measure: str) -> str | None:
-            return names[header.index(measure)] if measure in header else None
-
-        return rows.where(cells.rlike(r"\S")).select(
-            _number(column("confidence")).alias("confidence"),
-            _number(column("support")).alias("support"),
+        if by_record:
+            records = (
+                spark.read.schema(schema)
+                .options(**options, multiLine=True, columnPruning=False, pathGlobFilter=_FILES)
+                .csv(directory)
+                .where(file.isin(by_record))
+            )
+            # A record with more or fewer cells than the schema is in ``raw`` as well.
+            filled = F.concat_ws("", *names).rlike(r"\S") | ~F.col("raw").rlike(blank)
+            records = records.where(F.coalesce(filled, F.lit(False)))
+            rows = rows.where(~file.isin(by_record)).unionByName(
+                records.select(F.struct(*names, "raw").alias("cells"), file.alias("file"))
+            )
+        cells = F.array(*(F.col("cells")[name] for name in names))
+        rules = bounded_join(
+            rows.select(cells.alias("cells"), "file"),
+            layouts.frame.drop("by_line"),
+            ["file"],
+            totals["bytes"],
+            ["cells"],
         )
-
-    frames = [measured(header, files) for header, files in layouts.items()]
-    rules = (
-        reduce(DataFrame.unionByName, frames)
-        if frames
-        else spark.createDataFrame([], "confidence double, support double")
-    )
-    return rules.agg(
-        F.count("*").alias("n_rules"),
-        F.avg("confidence").alias("mean_confidence"),
-        F.avg("support").alias("mean_support"),
-    )
+        # A header is a row without numbers; it is only taken from the count.
+        found = rules.agg(
+            (F.count("*") - totals["headers"]).alias("n_rules"),
+            F.avg(_number(F.get("cells", F.col("confidence") - 1))).alias("mean_confidence"),
+            F.avg(_number(F.get("cells", F.col("support") - 1))).alias("mean_support"),
+        )
+        return spark.createDataFrame([found.first()], found.schema)
+    finally:
+        layouts.drop()

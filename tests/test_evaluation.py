@@ -47,6 +47,23 @@ def test_rules_files_of_several_layouts(spark, tmp_path):
     assert found == pytest.approx((6, 0.75, 0.3))
 
 
+def test_line_breaks_in_quotes(spark, tmp_path):
+    found = summary_of(
+        spark,
+        tmp_path,
+        a_csv='rule,confidence,support\n"x\ny",0.5,0.2\n"5"" z",0.7,0.4\n\n',
+        b_csv='5" pipe,"one\n6" more,"two\n',
+        c_txt='"a\nb" => c\n" \n ",\nd => e\n',
+        d_csv=',support,rule\n0,0.6,z\n1,,"last\n"\n',
+    )
+    assert found == pytest.approx((2 + 1 + 2 + 2, 0.6, 0.4))
+
+
+def test_a_header_over_several_lines_is_refused(spark, tmp_path):
+    with pytest.raises(Exception, match="Line break in the header"):
+        summary_of(spark, tmp_path, a_csv='confidence,"the\nrule"\n0.5,x\n')
+
+
 def test_no_rules_files(spark, tmp_path):
     assert summary_of(spark, tmp_path, notes_md="x") == (0, None, None)
 
@@ -76,6 +93,23 @@ def test_rule_export(spark, tmp_path, layout):
     assert [tuple(r) for r in found] == expected
 
 
+def test_rule_exports_of_several_layouts(spark, tmp_path):
+    folder = tmp_path / "exports of rules"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps([{"support": i} for i in range(200)], indent=2))
+    (folder / "b.json").write_text("\n".join(json.dumps({"support": i}) for i in range(200, 250)))
+    (folder / "c 1.json").write_text(json.dumps([{"support": 250}]) + "\n")
+    found = rule_measures(read_rule_export(spark, str(folder))).collect()
+    assert sorted(row.support for row in found) == list(range(251))
+
+
+@pytest.mark.parametrize("text", ['{"support": 1}\n{"support": \n', '[\n{"support": 1}\n]\n{"support": 2}\n'])
+def test_broken_rule_export(spark, tmp_path, text):
+    (tmp_path / "export.json").write_text(text)
+    with pytest.raises(Exception, match="Not JSON"):
+        read_rule_export(spark, str(tmp_path)).collect()
+
+
 def read_csv(folder):
     rows = []
     for part in sorted(folder.glob("part-*.csv")):

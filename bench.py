@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import factdrift as fd
 from driver_checks import queries as q
+from driver_checks.planted import planted_triples
 from factdrift.staging import scratch_path
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -47,7 +48,7 @@ def timed(action) -> float:
 
 def planted_files(spark: SparkSession, n_entities: int):
     entities = spark.range(n_entities).withColumnRenamed("id", "entity")
-    return q.snapshot_files(fd.planted_triples(entities))
+    return q.snapshot_files(planted_triples(entities))
 
 
 def main() -> None:

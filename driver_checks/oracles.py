@@ -41,23 +41,6 @@ facts AS (
     ('language', '_:' || lang, 'blank', NULL, NULL)
   ) f(predicate, object, object_kind, datatype, language))"""
 
-PLANTED_FACTS = """
-planted AS (
-  SELECT c_custkey AS entity, s, c_custkey % 5 AS class,
-         CASE WHEN c_custkey % 5 = 0 THEN 0
-              WHEN c_custkey % 5 = 1 AND s < 2 THEN 1
-              ELSE CAST('0x' || substr(md5(c_custkey || '/' || s || '/42'), 1, 8) AS BIGINT) % 5
-         END AS org
-  FROM customer, generate_series(0, 3) g(s)),
-facts AS (
-  SELECT 'http://example.org/entity' || entity AS subject, f.predicate, f.object, 'iri' AS object_kind,
-         CAST(2020 + s AS VARCHAR) AS snapshot, (2020 + s) || '-01-01' AS snapshot_ts
-  FROM planted,
-  LATERAL (VALUES
-    ('http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'http://example.org/Class' || class),
-    ('http://example.org/worksAt', 'http://example.org/Org' || org)
-  ) f(predicate, object))"""
-
 
 def _windows(width: int = 2, step: int = 1, include_partial: bool = False) -> str:
     full = "true" if include_partial else f"w * {step} + {width} <= n"
@@ -167,8 +150,7 @@ _RULE_VALUES = f"SELECT window_id, rule_key, {_rounded('confidence', 'lift', 'su
 _ITEMSETS = "SELECT window_id, array_to_string(items, ',') AS items, freq, round(support, 6) AS support FROM itemsets"
 _TRANSACTIONS = """SELECT window_id, subject, string_agg(item, ',' ORDER BY item) AS items
   FROM items GROUP BY window_id, subject"""
-_PER_WINDOW = """SELECT window_id, snapshot, count(*) AS n FROM facts JOIN members USING (snapshot)
-  GROUP BY window_id, snapshot"""
+_IN_WINDOWS = "SELECT subject, predicate, object, snapshot, window_id FROM facts JOIN members USING (snapshot)"
 _WINDOW_LIST = """SELECT window_id, string_agg(snapshot, ',' ORDER BY position) AS snapshots, count(*) AS size
   FROM members GROUP BY window_id"""
 _QUALITY = """count(*) AS n_rules, round(avg(mean_confidence), 6) AS mean_confidence,
@@ -189,11 +171,7 @@ def _documents(select: str) -> str:
     return _with(DOCUMENT_FACTS, select=select)
 
 
-_BY_PREDICATE = _documents("SELECT predicate, count(*) AS n FROM facts GROUP BY predicate")
-_TAGGED = _documents(
-    """SELECT '2024' AS snapshot, '2024-01-01' AS snapshot_ts, predicate, count(*) AS n
-    FROM facts GROUP BY predicate"""
-)
+_TAGGED = _documents("SELECT *, '2024' AS snapshot, '2024-01-01' AS snapshot_ts FROM facts")
 
 ORACLES: dict[str, str] = {
     "s1_read_ntriples": _DOCUMENTS,
@@ -206,15 +184,23 @@ ORACLES: dict[str, str] = {
         """SELECT predicate, count(*) AS n, count(datatype) AS n_datatype, count(language) AS n_language
         FROM facts GROUP BY predicate"""
     ),
-    "s6_line_filter": _BY_PREDICATE,
-    "s7_failfast": _BY_PREDICATE,
+    "s6_line_filter": _DOCUMENTS,
+    "s7_failfast": _DOCUMENTS,
+    "s7_refuses_malformed": _documents(
+        "SELECT predicate, count(*) AS n, true AS refused FROM facts GROUP BY predicate"
+    ),
     "s8_unescape": "SELECT doc_id, text FROM documents",
     "s9_read_store": _customer(_FACT_COLUMNS),
     "s10_pruned_read": _customer(_FACT_COLUMNS + " WHERE snapshot IN ('1997', '1998')"),
-    "s11_rules_file_summary": """SELECT (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM part) AS n_rules,
-        round(avg(l_discount), 6) AS mean_confidence, round(avg(l_tax), 6) AS mean_support FROM lineitem""",
-    "s12_rule_export": """SELECT round(p_retailprice, 6) AS support, round(p_size / 64, 6) AS confidence
-        FROM part""",
+    "s11_rules_file_summary": """SELECT
+        (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM part) + 2 * (SELECT count(*) FROM documents)
+          AS n_rules,
+        (SELECT round(avg(n_chars), 6) FROM documents) AS mean_confidence,
+        (SELECT round(avg(support), 6)
+         FROM (SELECT l_discount AS support FROM lineitem UNION ALL SELECT doc_id % 7 FROM documents))
+          AS mean_support""",
+    "s12_rule_export": """SELECT p_partkey AS id, p_name AS head, round(p_retailprice, 6) AS support,
+        round(p_size / 64, 6) AS confidence FROM part""",
     "s13_measure_extraction": """SELECT
         round(CASE WHEN p_size > 30 THEN p_size / 256 ELSE p_partkey END, 6) AS support,
         round(CASE WHEN p_size <= 10 THEN p_size / 64 WHEN p_size <= 20 THEN p_size / 128 ELSE 0.5::DOUBLE END, 6)
@@ -231,9 +217,8 @@ ORACLES: dict[str, str] = {
     "n6_rule_measures_sink": """SELECT round(CASE WHEN l_quantity > 10 THEN l_tax END, 6) AS support,
         round(CASE WHEN l_quantity <= 40 THEN l_discount END, 6) AS confidence FROM lineitem""",
     "p1_literal_filter": _customer(
-        """SELECT false AS literals, object_kind, count(*) AS n FROM facts WHERE object_kind <> 'literal'
-        GROUP BY object_kind
-        UNION ALL SELECT true, object_kind, count(*) FROM facts GROUP BY object_kind"""
+        """SELECT literals, subject, predicate || '=' || object AS item, object_kind, snapshot
+        FROM facts, (VALUES (false), (true)) v(literals) WHERE literals OR object_kind <> 'literal'"""
     ),
     "p2_item_token": _customer("SELECT predicate || '=' || object AS item, count(*) AS n FROM facts GROUP BY item"),
     "p3_window_slice": _customer(
@@ -256,22 +241,17 @@ ORACLES: dict[str, str] = {
         """SELECT rule_key, CASE WHEN occurrences > 1 THEN 'PERSISTENT' ELSE 'TRANSIENT' END AS kind
         FROM metrics""",
     ),
-    "p7_short_label": _with(
-        PLANTED_FACTS,
+    "p7_short_label": _customer(
+        """SELECT window_id, subject, string_agg(DISTINCT object, ',' ORDER BY object) AS labels
+        FROM facts JOIN members USING (snapshot) GROUP BY window_id, subject""",
         _windows(1),
-        _transactions(True),
-        select="""SELECT window_id, regexp_extract(item, '[^/]*$') AS label, count(*) AS n
-        FROM items GROUP BY window_id, label""",
     ),
     "p8_rule_columns": _mined(
         CUSTOMER_FACTS,
         f"""SELECT window_id, rule_key, antecedent, consequent, {_rounded('confidence', 'lift', 'support')}
         FROM rules""",
     ),
-    "j1_window_join": _customer(
-        "SELECT subject, predicate, object, snapshot, window_id FROM facts JOIN members USING (snapshot)",
-        _windows(),
-    ),
+    "j1_window_join": _customer(_IN_WINDOWS, _windows()),
     "a1_transactions": _customer(_TRANSACTIONS, _windows(), _transactions()),
     "a2_trajectories": _mined(
         CUSTOMER_FACTS,
@@ -299,10 +279,15 @@ ORACLES: dict[str, str] = {
     ),
     "w2_build_windows": _customer(_WINDOW_LIST, _windows(2, 1)),
     "w3_partial_windows": _customer(_WINDOW_LIST, _windows(2, 1, True)),
-    "w5_assign_windows": _customer(_PER_WINDOW, _windows()),
+    "w4_argument_checks": _with(
+        USER_FACTS,
+        select="""SELECT snapshot, count(*) AS n_triples, true AS width_0, true AS width_minus_1,
+        true AS step_0, false AS neither FROM facts GROUP BY snapshot""",
+    ),
+    "w5_assign_windows": _customer(_IN_WINDOWS, _windows()),
     "w6_window_sizes": _customer(_WINDOW_LIST, _windows(3, 2, True)),
-    "w7_tumbling_windows": _customer(_PER_WINDOW, _windows(2, 2, True)),
-    "w8_gapped_windows": _customer(_PER_WINDOW, _windows(1, 2)),
+    "w7_tumbling_windows": _customer(_IN_WINDOWS, _windows(2, 2, True)),
+    "w8_gapped_windows": _customer(_IN_WINDOWS, _windows(1, 2)),
     "m1_build_transactions": _customer(_TRANSACTIONS, _windows(), _transactions(True)),
     "m2_itemsets": _mined(CUSTOMER_FACTS, _ITEMSETS),
     "m3_rules": _mined(ORDER_FACTS, _RULE_VALUES),
@@ -314,7 +299,7 @@ ORACLES: dict[str, str] = {
         USER_FACTS, _RULE_VALUES, width="(SELECT count(DISTINCT snapshot) FROM facts)"
     ),
     "u1_union_snapshots": _customer(
-        "SELECT snapshot, predicate, 3 * count(*) AS n FROM facts GROUP BY snapshot, predicate"
+        f"{_FACT_COLUMNS} UNION ALL {_FACT_COLUMNS} UNION ALL {_FACT_COLUMNS}"
     ),
     "u2_union_windows": _mined(CUSTOMER_FACTS, _ITEMSETS),
     "u3_distinct": _with(USER_FACTS, select="SELECT DISTINCT snapshot, snapshot_ts FROM facts"),
@@ -369,22 +354,21 @@ ORACLES: dict[str, str] = {
         f"""SELECT 'customers' AS dataset, 'ok' AS status, true AS supports_temporal, '' AS note,
         {_N_TRIPLES}, {_QUALITY}, {_EXTRA}, {_N_WINDOWS} FROM metrics""",
     ),
-    "e3_throughput": _customer("SELECT 'customers' AS dataset, count(*) AS n_triples FROM facts"),
+    "t12_window_count": _mined(
+        USER_FACTS, "SELECT window_id, rule_key, true AS zero, true AS negative, false AS one FROM rules"
+    ),
+    "e3_throughput": """SELECT l_orderkey, l_linenumber, l_partkey AS n_input_triples,
+        round(l_quantity - 1, 6) AS runtime_sec,
+        CASE WHEN l_quantity = 1 THEN 0::DOUBLE ELSE round(l_partkey / (l_quantity - 1), 6) END
+          AS triples_per_sec FROM lineitem""",
     "e4_temporal_summary": _mined(
         CUSTOMER_FACTS, f"SELECT 'customers' AS dataset, {_EXTRA}, {_N_WINDOWS} FROM metrics"
     ),
-    "e5_planted_rules": _with(
-        PLANTED_FACTS,
-        _windows(1),
-        _transactions(),
-        _rules(0.05),
-        _metrics(0.5),
-        select=f"""SELECT CASE WHEN antecedent LIKE '%Class0' THEN 'persistent' ELSE 'transient' END AS rule,
+    "e5_named_rules": _mined(
+        CUSTOMER_FACTS,
+        f"""SELECT CASE antecedent WHEN 'orderStatus=O' THEN 'persistent' ELSE 'transient' END AS rule,
         {_rounded('persistence_score', 'confidence_drift')} FROM metrics
-        WHERE (antecedent LIKE '%type=%Class0' AND consequent LIKE '%worksAt=%Org0')
-           OR (antecedent LIKE '%type=%Class1' AND consequent LIKE '%worksAt=%Org1')""",
-    ),
-    "e6_planted_triples": _with(
-        PLANTED_FACTS, select="SELECT subject, predicate, object, object_kind, snapshot, snapshot_ts FROM facts"
+        WHERE (antecedent = 'orderStatus=O' AND consequent = 'orderStatus=F')
+           OR (antecedent = 'orderStatus=F' AND consequent = 'orderStatus=O')""",
     ),
 }

@@ -7,23 +7,17 @@ snapshots only (a transient rule); everything else is spread at random.
 
 from __future__ import annotations
 
+from factdrift.sources.ntriples import IRI
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.ntriples import IRI
-
 # The vocabulary of the planted facts and rules.
 NAMESPACE = "http://example.org/"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 WORKS_AT = f"{NAMESPACE}worksAt"
-PERSISTENT_RULE = {
-    "antecedent": f"{RDF_TYPE}={NAMESPACE}Class0",
-    "consequent": f"{WORKS_AT}={NAMESPACE}Org0",
-}
-TRANSIENT_RULE = {
-    "antecedent": f"{RDF_TYPE}={NAMESPACE}Class1",
-    "consequent": f"{WORKS_AT}={NAMESPACE}Org1",
-}
+# Antecedent and consequent.
+PERSISTENT_RULE = (f"{RDF_TYPE}={NAMESPACE}Class0", f"{WORKS_AT}={NAMESPACE}Org0")
+TRANSIENT_RULE = (f"{RDF_TYPE}={NAMESPACE}Class1", f"{WORKS_AT}={NAMESPACE}Org1")
 
 
 def _resource(prefix: str, number: Column) -> Column:

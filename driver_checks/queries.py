@@ -43,11 +43,6 @@ def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fd.document_facts(_table(spark, sf_dir, "documents"))
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planted triples with the customers as entities."""
-    return fd.planted_triples(_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity")))
-
-
 def flat(df: DataFrame) -> DataFrame:
     """Comparable values: see the module's description."""
 
@@ -134,13 +129,26 @@ def _with_noise(lines: DataFrame, sf_dir: str, malformed: bool) -> DataFrame:
 
 def s6_line_filter(spark, sf_dir):
     lines = _with_noise(_lines(document_facts(spark, sf_dir)), sf_dir, malformed=True)
-    return flat(fd.parse_lines(lines).groupBy("predicate").agg(F.count("*").alias("n")))
+    return fd.parse_lines(lines)
 
 
 def s7_failfast(spark, sf_dir):
     lines = _with_noise(_lines(document_facts(spark, sf_dir)), sf_dir, malformed=False)
+    return fd.parse_lines(lines, mode="failfast")
+
+
+def s7_refuses_malformed(spark, sf_dir):
+    """Triples per predicate, and whether lines with broken ones among them fail."""
+    lines = _lines(document_facts(spark, sf_dir))
+    broken = fd.parse_lines(_with_noise(lines, sf_dir, malformed=True), mode="failfast")
+    try:
+        broken.write.format("noop").mode("overwrite").save()
+        refused = False
+    except Exception as error:
+        refused = "Malformed N-Triples line" in str(error)
     parsed = fd.parse_lines(lines, mode="failfast")
-    return flat(parsed.groupBy("predicate").agg(F.count("*").alias("n")))
+    counts = parsed.groupBy("predicate").agg(F.count("*").alias("n"))
+    return flat(counts.withColumn("refused", F.lit(refused)))
 
 
 def s8_unescape(spark, sf_dir):
@@ -166,14 +174,19 @@ def s10_pruned_read(spark, sf_dir):
 
 
 def s11_rules_file_summary(spark, sf_dir):
-    lineitem = _table(spark, sf_dir, "lineitem")
+    """Texts with their line breaks, quoted, with a header and without; plain lines."""
     path = scratch_path(spark, "rule-files")
-    lineitem.select(
-        F.concat_ws(",", "l_returnflag", "l_linestatus").alias("antecedent"),
-        F.col("l_discount").alias("Confidence"),
-        F.col("l_tax").alias("SUPPORT"),
-    ).write.csv(path, header=True)
+    documents = _table(spark, sf_dir, "documents")
+    tables = documents.select(
+        F.col("text").alias("rule"),
+        F.col("n_chars").alias("Confidence"),
+        (F.col("doc_id") % 7).alias("SUPPORT"),
+    )
+    tables.write.csv(path, header=True, escape='"')
+    tables.select("rule", "SUPPORT").write.mode("append").csv(path, escape='"')
     _table(spark, sf_dir, "part").select("p_name").write.mode("append").text(path)
+    lineitem = _table(spark, sf_dir, "lineitem").select("l_tax", F.col("l_discount").alias("support"))
+    lineitem.write.mode("append").csv(path, header=True)
     return flat(fd.rules_file_summary(spark, path))
 
 
@@ -185,7 +198,7 @@ def _exported(spark, sf_dir, measures: Column) -> DataFrame:
 
 
 def s12_rule_export(spark, sf_dir):
-    """Measures as a list of names and values."""
+    """Measures as names and values, in files of lines, of one-line and of spread arrays."""
 
     def entry(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"))
@@ -195,7 +208,29 @@ def s12_rule_export(spark, sf_dir):
         entry("HeadCoverage", F.col("p_retailprice")),
         entry("Support", F.lit(1)),
     )
-    return flat(fd.rule_measures(_exported(spark, sf_dir, measures)))
+    key = F.col("p_partkey")
+    rules = _table(spark, sf_dir, "part").select(
+        key, F.struct(F.col("p_name").alias("head"), key.alias("id"), measures.alias("measures")).alias("rule")
+    )
+    arrays = (
+        rules.groupBy((key % 3).alias("layout"), F.floor(key / 500).alias("block"))
+        .agg(F.collect_list("rule").alias("rules"))
+    )
+    layouts = [
+        rules.where(key % 3 == 0).select(F.lit("lines").alias("file"), F.to_json("rule").alias("value")),
+        arrays.where("layout = 1").select(F.lit("arrays"), F.to_json("rules")),
+        arrays.where("layout = 2").select(
+            F.concat(F.lit("spread-"), "block"), F.to_json("rules", {"pretty": "true"})
+        ),
+    ]
+    path = scratch_path(spark, "rule-export")
+    layouts[0].unionAll(layouts[1]).unionAll(layouts[2]).write.partitionBy("file").text(path)
+    export = fd.read_rule_export(spark, path).select(
+        F.try_variant_get("rule", "$.id", "long").alias("id"),
+        F.try_variant_get("rule", "$.head", "string").alias("head"),
+        "rule",
+    )
+    return flat(fd.rule_measures(export))
 
 
 def s13_measure_extraction(spark, sf_dir):
@@ -215,14 +250,12 @@ def s13_measure_extraction(spark, sf_dir):
 
 
 def n1_tag_snapshot(spark, sf_dir):
-    tagged = fd.tag_snapshot(document_facts(spark, sf_dir), "2024", datetime(2024, 1, 1))
-    return flat(tagged.groupBy("snapshot", "snapshot_ts", "predicate").agg(F.count("*").alias("n")))
+    return flat(fd.tag_snapshot(document_facts(spark, sf_dir), "2024", datetime(2024, 1, 1)))
 
 
 def n2_ingest_snapshot(spark, sf_dir):
     path = _written(_lines(document_facts(spark, sf_dir)), "snapshot-nt")
-    ingested = fd.ingest_snapshot(spark, path, "2024", datetime(2024, 1, 1))
-    return flat(ingested.groupBy("snapshot", "snapshot_ts", "predicate").agg(F.count("*").alias("n")))
+    return flat(fd.ingest_snapshot(spark, path, "2024", datetime(2024, 1, 1)))
 
 
 def snapshot_files(triples: DataFrame) -> dict[str, tuple[str, datetime]]:
@@ -287,11 +320,9 @@ def n6_rule_measures_sink(spark, sf_dir):
 
 def p1_literal_filter(spark, sf_dir):
     facts = customer_facts(spark, sf_dir)
-    kept = fd.fact_items(facts).groupBy("object_kind").agg(F.count("*").alias("n"))
-    every = fd.fact_items(facts, include_literals=True).groupBy("object_kind").agg(F.count("*").alias("n"))
-    return flat(
-        kept.withColumn("literals", F.lit(False)).unionByName(every.withColumn("literals", F.lit(True)))
-    )
+    kept = fd.fact_items(facts).withColumn("literals", F.lit(False))
+    every = fd.fact_items(facts, include_literals=True).withColumn("literals", F.lit(True))
+    return flat(kept.unionByName(every).select("literals", "subject", "item", "object_kind", "snapshot"))
 
 
 def p2_item_token(spark, sf_dir):
@@ -337,13 +368,12 @@ def p6_persistence_label(spark, sf_dir):
 
 
 def p7_short_label(spark, sf_dir):
-    transactions = fd.build_transactions(
-        fd.assign_windows(planted(spark, sf_dir), 1), include_literals=True
-    )
+    """Items whose objects are paths of a customer's segment and name."""
+    facts = customer_facts(spark, sf_dir)
+    paths = facts.withColumn("object", F.concat(F.lit("customer/"), "predicate", F.lit("/"), "object"))
+    transactions = fd.build_transactions(fd.assign_windows(paths, 1), include_literals=True)
     return flat(
-        transactions.select("window_id", F.explode(short_label("items")).alias("label"))
-        .groupBy("window_id", "label")
-        .agg(F.count("*").alias("n"))
+        transactions.select("window_id", "subject", F.array_sort(short_label("items")).alias("labels"))
     )
 
 
@@ -354,12 +384,12 @@ def p8_rule_columns(spark, sf_dir):
 # --- joins, aggregations -----------------------------------------------------------
 
 
-def _rows_per_window(windowed: DataFrame) -> DataFrame:
-    return flat(windowed.groupBy("window_id", "snapshot").agg(F.count("*").alias("n")))
+def _rows_in_windows(windowed: DataFrame) -> DataFrame:
+    return flat(windowed.select("subject", "predicate", "object", "snapshot", "window_id"))
 
 
 def j1_window_join(spark, sf_dir):
-    return flat(_windowed(spark, sf_dir).select("subject", "predicate", "object", "snapshot", "window_id"))
+    return _rows_in_windows(_windowed(spark, sf_dir))
 
 
 def a1_transactions(spark, sf_dir):
@@ -379,7 +409,7 @@ def a2_trajectories(spark, sf_dir):
 
 
 def a3_transactions_per_window(spark, sf_dir):
-    return flat(fd.transactions_per_window(_transactions(spark, sf_dir)))
+    return flat(fd.transactions_per_window(fd.transaction_sizes(_windowed(spark, sf_dir))))
 
 
 def a4_triples_per_snapshot(spark, sf_dir):
@@ -395,7 +425,8 @@ def a6_triple_count(spark, sf_dir):
 
 
 def a7_distinct_windows(spark, sf_dir):
-    return flat(_transactions(spark, sf_dir).agg(F.count_distinct("window_id").alias("n_windows")))
+    sizes = fd.transaction_sizes(_windowed(spark, sf_dir))
+    return flat(sizes.agg(F.count_distinct("window_id").alias("n_windows")))
 
 
 def a8_quality(spark, sf_dir):
@@ -417,16 +448,44 @@ def _windows(width: int, step: int, include_partial: bool = False) -> Query:
     return run
 
 
+def _refused(action: Callable[[], object]) -> bool:
+    try:
+        action()
+    except ValueError:
+        return True
+    return False
+
+
+def w4_argument_checks(spark, sf_dir):
+    """The snapshots of the events, and which widths and steps are refused for them."""
+    facts = user_facts(spark, sf_dir)
+    tried = {"width_0": (0, 1), "width_minus_1": (-1, 1), "step_0": (1, 0), "neither": (2, 1)}
+    snapshots = fd.ordered_snapshots(facts)
+    return flat(
+        snapshots.select(
+            "snapshot",
+            "n_triples",
+            *(
+                F.lit(
+                    _refused(lambda a=a: fd.assign_windows(facts, *a))
+                    and _refused(lambda a=a: fd.build_windows(snapshots, *a))
+                ).alias(name)
+                for name, a in tried.items()
+            ),
+        )
+    )
+
+
 def w5_assign_windows(spark, sf_dir):
-    return _rows_per_window(_windowed(spark, sf_dir))
+    return _rows_in_windows(_windowed(spark, sf_dir))
 
 
 def w7_tumbling_windows(spark, sf_dir):
-    return _rows_per_window(_windowed(spark, sf_dir, 2, 2, include_partial=True))
+    return _rows_in_windows(_windowed(spark, sf_dir, 2, 2, include_partial=True))
 
 
 def w8_gapped_windows(spark, sf_dir):
-    return _rows_per_window(_windowed(spark, sf_dir, 1, 2))
+    return _rows_in_windows(_windowed(spark, sf_dir, 1, 2))
 
 
 # --- mining ----------------------------------------------------------------------------
@@ -489,9 +548,7 @@ def m8_evolution(spark, sf_dir):
 def u1_union_snapshots(spark, sf_dir):
     facts = customer_facts(spark, sf_dir)
     reordered = facts.select(*reversed(facts.columns))
-    return flat(
-        union_all([facts, reordered, facts]).groupBy("snapshot", "predicate").agg(F.count("*").alias("n"))
-    )
+    return flat(union_all([facts, reordered, facts]))
 
 
 def u2_union_windows(spark, sf_dir):
@@ -536,6 +593,22 @@ def t11_inferred_windows(spark, sf_dir):
     return flat(fd.compute_metrics(found.rules, tau=TAU).select("rule_key", "temporal_support", "persistence_score"))
 
 
+def t12_window_count(spark, sf_dir):
+    """Every rule, and which numbers of windows are refused for its metrics."""
+    rules = mined(user_facts)(spark, sf_dir).rules
+    tried = {"zero": 0, "negative": -1, "one": 1}
+    return flat(
+        rules.select(
+            "window_id",
+            "rule_key",
+            *(
+                F.lit(_refused(lambda n=n: fd.compute_metrics(rules, n_windows=n))).alias(name)
+                for name, n in tried.items()
+            ),
+        )
+    )
+
+
 # --- evaluation --------------------------------------------------------------------------------
 
 
@@ -564,26 +637,28 @@ def e2_run_summary(spark, sf_dir):
 
 
 def e3_throughput(spark, sf_dir):
-    """The measured rate, reduced to what repeats: rate * runtime = triples."""
-    rated = fd.throughput(_summary(spark, sf_dir))
-    return flat(
-        rated.select(
-            "dataset", F.round(F.col("triples_per_sec") * F.col("runtime_sec")).cast("long").alias("n_triples")
-        )
+    """Rates of runs that took a lineitem's quantity, less one, for its part's triples."""
+    runs = _table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_partkey").alias("n_input_triples"),
+        (F.col("l_quantity") - 1).alias("runtime_sec"),
     )
+    return flat(fd.throughput(runs))
 
 
 def e4_temporal_summary(spark, sf_dir):
     return flat(fd.temporal_summary(_summary(spark, sf_dir)).drop("system"))
 
 
-def e5_planted_rules(spark, sf_dir):
-    found = fd.temporal_rules(planted(spark, sf_dir), 0.05, MIN_CONFIDENCE, tau=MIN_CONFIDENCE)
-    return flat(fd.planted_rule_check(found.metrics))
+E5_RULES = {
+    "persistent": ("orderStatus=O", "orderStatus=F"),
+    "transient": ("orderStatus=F", "orderStatus=O"),
+}
 
 
-def e6_planted_triples(spark, sf_dir):
-    return flat(planted(spark, sf_dir).drop("datatype", "language"))
+def e5_named_rules(spark, sf_dir):
+    return flat(fd.named_rule_check(customer_rules(spark, sf_dir).metrics, E5_RULES))
 
 
 _FUNCTIONS = (
@@ -594,6 +669,7 @@ _FUNCTIONS = (
     s5_empty_to_null,
     s6_line_filter,
     s7_failfast,
+    s7_refuses_malformed,
     s8_unescape,
     s9_read_store,
     s10_pruned_read,
@@ -624,6 +700,7 @@ _FUNCTIONS = (
     a7_distinct_windows,
     a8_quality,
     w1_ordered_snapshots,
+    w4_argument_checks,
     w5_assign_windows,
     w7_tumbling_windows,
     w8_gapped_windows,
@@ -646,9 +723,9 @@ _FUNCTIONS = (
     e2_run_summary,
     e3_throughput,
     e4_temporal_summary,
-    e5_planted_rules,
-    e6_planted_triples,
+    e5_named_rules,
     t11_inferred_windows,
+    t12_window_count,
 )
 
 QUERIES: dict[str, Query] = {

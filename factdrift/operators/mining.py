@@ -32,6 +32,7 @@ CUT_RATIO = 2.0
 # Assumed size of a row's numbers in a broadcast table, next to its text.
 _ENTRY_BYTES = 64
 
+# The columns of the results, in order.
 _ITEMSETS = ["window_id", "items", "freq", "support"]
 _RULES = ["window_id", "rule_key", "antecedent", "consequent", "confidence", "lift", "support"]
 
@@ -67,11 +68,21 @@ def _larger_itemsets(
 
 
 def _mine(
-    items: LongItems | MaskedItems, min_support: float, min_confidence: float, cut_ratio: float
+    items: LongItems | MaskedItems,
+    min_support: float,
+    min_confidence: float,
+    cut_ratio: float,
+    tables: list[Staged] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    scrap = [items.staged]
+    scrap, kept = [items.staged], []
     try:
-        return _mine_staged(items, min_support, min_confidence, cut_ratio, scrap)
+        found = _mine_staged(items, min_support, min_confidence, cut_ratio, scrap, kept)
+        if tables is not None:
+            tables.extend(kept)
+        return found
+    except BaseException:
+        scrap += kept
+        raise
     finally:
         for staged in scrap:
             staged.drop()
@@ -83,8 +94,9 @@ def _mine_staged(
     min_confidence: float,
     cut_ratio: float,
     scrap: list[Staged],
+    kept: list[Staged],
 ) -> tuple[DataFrame, DataFrame]:
-    """Mine; tables the results do not read are added to ``scrap``."""
+    """Mine; tables the results read are added to ``kept``, others to ``scrap``."""
     spark = items.staged.frame.sparkSession
     # One row per window.
     n_tx = {row["window_id"]: row["n_transactions"] for row in items.sizes.collect()}
@@ -99,7 +111,8 @@ def _mine_staged(
     frequent = bounded_join(
         counted, windows, ["window_id"], _ENTRY_BYTES * len(n_tx), ["item"]
     ).where("freq >= cut")
-    dictionary = stage(items.dictionary(frequent), "frequent-items").frame
+    kept.append(stage(items.dictionary(frequent), "frequent-items"))
+    dictionary = kept[-1].frame
     singles = items.singles(dictionary)
     totals = singles.agg(
         F.count("*").alias("items"),
@@ -121,7 +134,8 @@ def _mine_staged(
     )
     if found:
         known = known.unionByName(_decoded(union_all(found), singles, size.bytes))
-    itemsets = stage(known, "itemsets").frame
+    kept.append(stage(known, "itemsets"))
+    itemsets = kept[-1].frame
     return itemsets.select(_ITEMSETS), _rules(itemsets, singles, size.bytes, min_confidence)
 
 
@@ -221,7 +235,12 @@ def mine_triples(
     min_confidence: float = 0.6,
     include_literals: bool = False,
     cut_ratio: float = CUT_RATIO,
+    tables: list[Staged] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``mine_rules`` over temporal triples and the windows planned for them."""
+    """``mine_rules`` over temporal triples and the windows planned for them.
+
+    The staged tables that the results read are added to ``tables``, for who
+    wants to delete them.
+    """
     items = items_of_triples(triples, plan, include_literals)
-    return _mine(items, min_support, min_confidence, cut_ratio)
+    return _mine(items, min_support, min_confidence, cut_ratio, tables)

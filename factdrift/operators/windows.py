@@ -24,9 +24,9 @@ _PRUNE_LIST = 1000
 
 def _check(width: int, step: int) -> None:
     if width < 1:
-        raise ValueError("width must be >= 1")
+        raise ValueError("A window needs a width of one snapshot or more.")
     if step < 1:
-        raise ValueError("step must be >= 1")
+        raise ValueError("Windows must advance by one snapshot or more.")
 
 
 def ordered_snapshots(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ from .evaluation import (
     SUMMARY_SCHEMA,
     TemporalRules,
     distinct_terms,
-    planted_rule_check,
+    named_rule_check,
     quality,
     run_pipeline,
     store_snapshots,
@@ -13,21 +13,17 @@ from .evaluation import (
     triples_per_snapshot,
 )
 from .facts import as_triples, customer_facts, document_facts, fact, order_facts, user_facts
-from .planted import PERSISTENT_RULE, TRANSIENT_RULE, planted_triples
 
 __all__ = [
-    "PERSISTENT_RULE",
     "SUMMARY_SCHEMA",
-    "TRANSIENT_RULE",
     "TemporalRules",
     "as_triples",
     "customer_facts",
     "distinct_terms",
     "document_facts",
     "fact",
+    "named_rule_check",
     "order_facts",
-    "planted_rule_check",
-    "planted_triples",
     "quality",
     "run_pipeline",
     "store_snapshots",

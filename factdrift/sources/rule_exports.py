@@ -64,6 +64,8 @@ def _measure(name: str) -> Column:
 def rule_measures(export: DataFrame) -> DataFrame:
     """``support`` and ``confidence`` of each exported rule, NULL if missing.
 
+    Columns other than ``rule`` are kept.
+
     Measures are a list of ``{name, value}`` objects or a flat map, in the
     field ``measures`` or, without such a field, in the rule itself.
     """
@@ -76,7 +78,9 @@ def rule_measures(export: DataFrame) -> DataFrame:
     )
     confidence, plain, partial = (_measure(name) for name in CONFIDENCE_MEASURES)
     relative, absolute = (_measure(name) for name in SUPPORT_MEASURES)
-    return export.select(entries.alias("measures")).select(
+    kept = [name for name in export.columns if name != "rule"]
+    return export.select(*kept, entries.alias("measures")).select(
+        *kept,
         F.coalesce(relative, absolute).alias("support"),
         F.coalesce(confidence, F.nullif(plain, F.lit(0.0)), partial).alias("confidence"),
     )

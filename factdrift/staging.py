@@ -8,6 +8,7 @@ lost executors and lets every later job read only the columns it needs.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -36,7 +37,7 @@ def staging_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
     if context.applicationId not in _local_roots:
         root = tempfile.mkdtemp(prefix="factdrift-")

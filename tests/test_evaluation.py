@@ -3,9 +3,7 @@ import json
 
 import pytest
 from factdrift import (
-    PERSISTENT_RULE,
-    planted_rule_check,
-    planted_triples,
+    named_rule_check,
     read_rule_export,
     rule_measures,
     rules_file_summary,
@@ -16,6 +14,7 @@ from factdrift import (
     write_rule_measures,
     write_summaries,
 )
+from driver_checks.planted import PERSISTENT_RULE, TRANSIENT_RULE, planted_triples
 from factdrift.plans import SUMMARY_SCHEMA
 from samples import write_snapshots
 
@@ -137,6 +136,12 @@ def test_sample_run(spark, tmp_path):
     assert rated.triples_per_sec == pytest.approx(15 / row.runtime_sec)
 
 
+def test_a_run_leaves_no_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("factdrift.staging.staging_root", lambda spark: str(tmp_path / "staged"))
+    run_pipeline(spark, "sample", write_snapshots(tmp_path), 0.5, 0.5).collect()
+    assert list((tmp_path / "staged").iterdir()) == []
+
+
 def test_golden_metrics(spark, tmp_path):
     from factdrift import store_snapshots
 
@@ -188,8 +193,7 @@ def test_planted_triples(spark):
 def test_planted_rules_are_found(spark):
     entities = spark.range(500).withColumnRenamed("id", "entity")
     found = temporal_rules(planted_triples(entities, seed=1), 0.05, 0.5, tau=0.5)
-    checked = {r.rule: r for r in planted_rule_check(found.metrics).collect()}
+    checked = {r.rule: r for r in named_rule_check(found.metrics, {"persistent": PERSISTENT_RULE, "transient": TRANSIENT_RULE}).collect()}
     assert checked["persistent"].persistence_score == pytest.approx(1.0)
     transient = checked.get("transient")
     assert transient is None or transient.persistence_score < 1.0
-    assert PERSISTENT_RULE["antecedent"].endswith("Class0")

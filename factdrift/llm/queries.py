@@ -8,11 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factdrift.llm import bpe_chunks, chat, minhash, packing, pii, quality, secrets, simhash, token_counts, vectors
+from factdrift.llm import (
+    alignment,
+    bpe_chunks,
+    chat,
+    minhash,
+    packing,
+    pii,
+    quality,
+    repeats,
+    secrets,
+    simhash,
+    token_counts,
+    vector_codes,
+    vectors,
+)
 from factdrift.llm.common import table
+from factdrift.llm.oracles import ORACLES as ORACLES
 from factdrift.llm.spans import digest_columns
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 PACK_END = 1
 END_OF_TEXT = 50256
 
@@ -78,6 +94,32 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id",
+        F.lower(F.hex("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"),
+    )
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_chat": op2_chat,
@@ -89,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_vectors": op9_vectors,
     "op10_minhash": op10_minhash,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_repeats": op12_repeats,
+    "op13_alignment": op13_alignment,
 }
-
-ORACLES: dict[str, str] = {}

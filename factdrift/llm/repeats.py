@@ -35,7 +35,7 @@ BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1 << 20
 # Rows of one anchor that a task takes as they are; more are split by what surrounds it.
 GROUP_ROWS = 512
-INDEX_BYTES = 1 << 18
+INDEX_BYTES = 1 << 17
 _STARTS = 1 << 17
 _PLACE_BITS = 18
 _EVERY_BIT = (1 << 64) - 1
@@ -127,22 +127,30 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor hash, first window, last window) of every anchor, windows by place in ``data``."""
-    ends = np.repeat(offsets[1:], np.diff(offsets))
+    """(anchor hash, context hash, text, first window, last window) of every anchor.
+
+    Windows are places in ``data``. It is gone through in parts, however long a text is.
+    """
     low = np.uint64((1 << _PLACE_BITS) - 1)
     for start in range(0, max(len(data) - length + 1, 0), _STARTS):
         part = data[start : start + _STARTS + length - 1]
         hashes = _anchor_hashes(part)
         ranked = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
         at = (_least(ranked, length - ANCHOR + 1) & low).astype(np.int64)
-        windows = np.flatnonzero(np.arange(start, start + len(at)) + length <= ends[start : start + len(at)])
+        # Windows that stay within their text.
+        ends = offsets[np.searchsorted(offsets, start, side="right") : np.searchsorted(offsets, start + len(part))] - start
+        valid = np.ones(len(at) + 1, bool)
+        for end in ends.tolist():
+            valid[max(end - length + 1, 0) : end] = False
+        windows = np.flatnonzero(valid[:-1])
         if len(windows) == 0:
             continue
-        # A window that starts a text is never a neighbour of the last one that ends a text.
+        # Windows of different texts are never neighbours: those between them are not valid.
         first = np.append(True, (np.diff(at[windows]) != 0) | (np.diff(windows) != 1))
         firsts = windows[first]
         lasts = windows[np.append(np.flatnonzero(first)[1:], len(windows)) - 1]
-        yield hashes[at[firsts]], firsts + start, lasts + start
+        text = np.searchsorted(offsets, firsts + start, side="right") - 1
+        yield hashes[at[firsts]], PrefixHash(part).spans(firsts, lasts + length), text, firsts + start, lasts + start
 
 
 # A place: the row in its block, the first window in the row, and how many windows follow.
@@ -158,11 +166,8 @@ def find_anchors(blocks: Blocks, length: int) -> DataFrame:
             block, row = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             if len(data) == 0:
                 continue
-            spans = PrefixHash(data)
-            for hashes, firsts, lasts in _anchors(data, offsets, length):
-                text = np.searchsorted(offsets, firsts, side="right") - 1
+            for hashes, whole, text, firsts, lasts in _anchors(data, offsets, length):
                 place = (row[text] << _START_BITS | firsts - offsets[text]) << _COUNT_BITS | lasts - firsts
-                whole = spans.spans(firsts, lasts + length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(block[text]), pa.array(place)],
                     ["key", "chash", "block", "place"],

@@ -64,11 +64,21 @@ class Staged:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete what was written to ``path`` when the application ends."""
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
+
+
 def stage(df: DataFrame, label: str) -> Staged:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    The table can be dropped before; it is deleted at the latest when the application ends.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    delete_at_exit(spark, path)
     return Staged(spark.read.schema(df.schema).parquet(path), path)
 
 

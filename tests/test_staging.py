@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+import time
 from pathlib import Path
 from types import SimpleNamespace
 
@@ -65,3 +69,20 @@ def test_a_local_session_gets_a_folder_of_its_own():
     session = session_like("local[2]")
     root = staging.staging_root(session)
     assert Path(root).is_dir() and staging.staging_root(session) == root
+
+
+def test_staged_tables_go_when_the_application_ends(tmp_path):
+    script = (
+        "from pyspark.sql import SparkSession\n"
+        "from factdrift.staging import stage\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')"
+        f".config('spark.checkpoint.dir', '{tmp_path}').getOrCreate()\n"
+        "stage(spark.range(3), 'kept')\n"
+        f"import os; assert len(os.listdir('{tmp_path}')) == 1\n"
+        "spark.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", script], check=True, cwd=Path(__file__).parent.parent, timeout=120)
+    deadline = time.monotonic() + 30
+    while os.listdir(tmp_path) and time.monotonic() < deadline:
+        time.sleep(0.5)
+    assert os.listdir(tmp_path) == []

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factdrift.llm.common import PrefixHash, map_batches, mix, ship
 from factdrift.llm.run_index import RunIndex
-from factdrift.staging import BROADCAST_BYTES, scratch_path, stage
+from factdrift.staging import BROADCAST_BYTES, delete_at_exit, scratch_path, stage
 
 LENGTH = 200
 ANCHOR = 32
@@ -74,13 +74,14 @@ def stage_blocks(docs: DataFrame) -> Blocks:
         F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text")
     )
     numbered = map_batches(plain, run, "block long, row int, doc_id long, text binary")
-    name = f"text_blocks_{uuid.uuid4().hex}"
+    name, path = f"text_blocks_{uuid.uuid4().hex}", scratch_path(spark, "text-blocks")
     (
-        numbered.write.option("path", scratch_path(spark, "text-blocks"))
+        numbered.write.option("path", path)
         .option("compression", "zstd")
         .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block")
         .saveAsTable(name)
     )
+    delete_at_exit(spark, path)
     return Blocks(spark.table(name))
 
 
@@ -193,17 +194,22 @@ def _sorted_texts(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return rows, ids, data, offsets
 
 
-_CONTEXTS = "okey long, ochash long, skip int, n long, key long, chash long, windows int, bytes binary"
+_CONTEXTS = "key long, chash long, n long, windows int, bytes binary"
+_PIECES = f"okey long, ochash long, skip int, {_CONTEXTS}"
+_FOUND = "key long, chash long, first int, last int"
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
 def _cut_contexts(blocks: Blocks, chosen: DataFrame, length: int) -> DataFrame:
     """The bytes of ``chosen`` contexts (block, place, key, chash, n)."""
 
     def cut(texts: pa.Table, wanted: pa.Table) -> pa.Table:
-        names = [field.split()[0] for field in _CONTEXTS.split(", ")]
-        none = pa.table({"okey": pa.array([], pa.int64()), "ochash": pa.array([], pa.int64()), "skip": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "chash": pa.array([], pa.int64()), "windows": pa.array([], pa.int32()), "bytes": pa.array([], pa.binary())})
         if wanted.num_rows == 0:
-            return none
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            return pa.table([pa.array([], t) for t in types], _names(_CONTEXTS))
         rows, _, data, offsets = _sorted_texts(texts)
         wanted = wanted.combine_chunks()
         row, first, last = _placed(wanted.column("place").chunk(0))
@@ -211,157 +217,144 @@ def _cut_contexts(blocks: Blocks, chosen: DataFrame, length: int) -> DataFrame:
         starts = offsets[order[np.searchsorted(rows[order], row)]]
         raw = data.tobytes()
         begin, end = (starts + first).tolist(), (starts + last + length).tolist()
-        key, chash, n = (wanted.column(c).chunk(0) for c in ("key", "chash", "n"))
         columns = [
-            key, chash, pa.array(np.zeros(len(row), np.int32)), n, key, chash,
+            *(wanted.column(c).chunk(0) for c in ("key", "chash", "n")),
             pa.array((last - first + 1).astype(np.int32)),
             pa.array([raw[a:b] for a, b in zip(begin, end, strict=True)], pa.binary()),
-        ]
-        return pa.table(columns, names)
+        ]
+        return pa.table(columns, _names(_CONTEXTS))
 
     left = blocks.frame.select("block", "row", "doc_id", "text").groupBy("block")
     return left.cogroup(chosen.groupBy("block")).applyInArrow(cut, _CONTEXTS)
 
 
-_FOUND = "key long, chash long, first int, last int"
-
-
-def _runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
     edges = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
-    return np.flatnonzero(edges > 0), np.flatnonzero(edges < 0) - 1
+    return list(zip(np.flatnonzero(edges > 0).tolist(), (np.flatnonzero(edges < 0) - 1).tolist(), strict=True))
 
 
 def _index_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows of contexts that come sorted by key and hash."""
-    # Distinct contexts: key, hash, bytes, windows, occurrences and who has them.
-    distinct: list[list] = []
-    size, last_key = 0, None
+    """Repeated windows of distinct contexts that come sorted by key."""
+    group: list[tuple] = []
+    pending: list[tuple] = []
+    size = 0
 
     def flush() -> pa.RecordBatch:
-        groups: dict[int, int] = {}
-        for context in distinct:
-            groups[context[0]] = groups.get(context[0], 0) + 1
-        shared = [c for c in distinct if groups[c[0]] > 1]
-        flags = {id(c): np.full(c[3], c[4] > 1) for c in distinct}
-        if shared:
-            lengths = np.array([len(c[2]) for c in shared])
-            found = RunIndex(np.frombuffer(b"".join(c[2] for c in shared), np.uint8), lengths).match_lengths()
-            starts = np.cumsum(lengths + 1) - lengths - 1
-            for c, start in zip(shared, starts.tolist(), strict=True):
-                flags[id(c)] |= found[start : start + c[3]] >= length
-        out: list[tuple] = []
-        for c in distinct:
-            if flags[id(c)].any():
-                spans = list(zip(*(x.tolist() for x in _runs_of(flags[id(c)])), strict=True))
-                out += [(okey, ochash, a + skip, b + skip) for okey, ochash, skip in c[5] for a, b in spans]
+        lengths = np.array([len(raw) for *_, raw in pending], np.int64)
+        data = np.frombuffer(b"".join(raw for *_, raw in pending), np.uint8)
+        found = RunIndex(data, lengths).match_lengths() >= length
+        starts = (np.cumsum(lengths + 1) - lengths - 1).tolist()
+        out = [
+            (key, chash, a, b)
+            for (key, chash, n, windows, _), start in zip(pending, starts, strict=True)
+            for a, b in ([(0, windows - 1)] if n > 1 else _runs_of(found[start : start + windows]))
+        ]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "chash", "first", "last"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _names(_FOUND))
 
     for batch in batches:
-        rows = zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True)
-        for okey, ochash, skip, n, key, chash, windows, raw in rows:
-            if key != last_key and size >= INDEX_BYTES:
-                yield flush()
-                distinct, size = [], 0
-            if key == last_key and distinct and distinct[-1][1] == chash:
-                distinct[-1][4] += n
-                distinct[-1][5].append((okey, ochash, skip))
-            else:
-                distinct.append([key, chash, raw, windows, n, [(okey, ochash, skip)]])
-                size += len(raw)
-            last_key = key
-    if distinct:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if group and row[0] != group[0][0]:
+                # A context alone that occurs once has no repeat.
+                if len(group) > 1 or group[0][2] > 1:
+                    pending += group
+                    size += sum(len(x[4]) for x in group)
+                group = []
+                if size >= INDEX_BYTES:
+                    yield flush()
+                    pending, size = [], 0
+            group.append(row)
+    if len(group) > 1 or group and group[0][2] > 1:
+        pending += group
+    if pending:
         yield flush()
 
 
-def _split(rows: DataFrame, level: int, length: int) -> DataFrame:
-    """Cut contexts of a crowded anchor by where in its windows the anchor stands.
+def _split(contexts: DataFrame, level: int, length: int) -> DataFrame:
+    """Cut contexts of crowded anchors by where in its windows the anchor stands.
 
     Windows with the anchor at about the same place share more than the anchor: the key of
     a piece hashes all that they share. At the last level that is the window itself.
     """
-    width = -(-(length - ANCHOR + 1) >> level) if level < 16 else 1
-    width = max(width, 1)
+    width = max(-(-(length - ANCHOR + 1) >> level), 1)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for okey, ochash, skip, n, windows, raw in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 3, 6, 7)), strict=True):
-                head = np.frombuffer(raw, np.uint8)[:length]
-                hashes = _anchor_hashes(head)
-                low = np.uint64((1 << _PLACE_BITS) - 1)
+            for okey, ochash, n, windows, raw in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                hashes = _anchor_hashes(np.frombuffer(raw, np.uint8)[:length])
                 anchor = int(np.argmin((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)))
                 start = 0
                 while start < windows:
                     node = (anchor - start) // width
                     stop = min(windows - 1, anchor - node * width)
                     most = min(node * width + width - 1, length - ANCHOR)
-                    core = raw[anchor - node * width : anchor - most + length]
-                    key = xxhash.xxh3_64_intdigest(core, level * 1024 + node)
+                    shared = raw[anchor - node * width : anchor - most + length]
+                    key = xxhash.xxh3_64_intdigest(shared, level * 1024 + node)
                     piece = raw[start : stop + length]
                     whole = xxhash.xxh3_64_intdigest(piece, anchor - start)
-                    out.append((okey, ochash, skip + start, n, key, whole, stop - start + 1, piece))
+                    out.append((okey, ochash, start, key, whole, n, stop - start + 1, piece))
                     start = stop + 1
             columns = [list(c) for c in zip(*out, strict=True)] if out else [[] for _ in range(8)]
-            for k in (4, 5):
+            for k in (3, 4):
                 columns[k] = np.array(columns[k], np.uint64).view(np.int64)
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            names = [field.split()[0] for field in _CONTEXTS.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
-
-    return map_batches(rows, run, _CONTEXTS)
-
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], _names(_PIECES))
 
-def _sized(keys: DataFrame, count: int) -> DataFrame:
-    """``keys`` to be broadcast where their number is known to be small."""
-    return F.broadcast(keys) if count * 64 <= BROADCAST_BYTES else keys
+    return map_batches(contexts, run, _PIECES)
 
 
-def match_contexts(contexts: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(key, chash, first, last): windows of distinct contexts that occur elsewhere too.
+def match_contexts(contexts: DataFrame, length: int = LENGTH, group_rows: int = GROUP_ROWS, level: int = 0) -> DataFrame:
+    """(key, chash, first, last): windows of distinct ``contexts`` that occur elsewhere too.
 
-    An anchor with up to ``group_rows`` rows is indexed in one task. The rows of a more
-    crowded one are cut into pieces that share more of their text, and pieces are matched
-    likewise; pieces that are all alike are counted, never gathered.
+    An anchor with up to ``group_rows`` contexts is indexed in one task. Those of a more
+    crowded one are cut into pieces that share more of their text, equal pieces become one
+    that counts for all, and pieces are matched likewise. At the last level a piece is one
+    window, of which no two distinct ones share a key.
     """
-    found, level = [], 0
-    while True:
-        keys = contexts.groupBy("key").agg(
-            F.count("*").alias("rows"), F.sum("n").alias("times"), F.min("chash").alias("least"), F.max("chash").alias("most")
+    keys = contexts.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > group_rows)
+    crowded = stage(keys.select("key"), "crowded-anchors").frame
+    count = crowded.count()
+    small = contexts
+    if count:
+        # Eight bytes each; beyond the limit both sides shuffle.
+        few = F.broadcast(crowded) if count * 64 <= BROADCAST_BYTES else crowded
+        small = contexts.join(few, "key", "left_anti")
+    dealt = small.select(*_names(_CONTEXTS)).repartition("key").sortWithinPartitions("key")
+    found = map_batches(dealt, lambda batches: _index_groups(batches, length), _FOUND)
+    if not count:
+        return found
+    many = contexts.join(few, "key", "left_semi").select(*_names(_CONTEXTS))
+    pieces = stage(_split(many, level + 1, length), f"pieces-{level + 1}").frame
+    distinct = pieces.groupBy("key", "chash").agg(
+        F.sum("n").alias("n"), F.first("windows").alias("windows"), F.first("bytes").alias("bytes")
+    )
+    inner = match_contexts(stage(distinct, f"contexts-{level + 1}").frame, length, group_rows, level + 1)
+    of_pieces = pieces.drop("n", "windows", "bytes").join(stage(inner, f"matched-{level + 1}").frame, ["key", "chash"])
+    return found.unionByName(
+        of_pieces.select(
+            F.col("okey").alias("key"),
+            F.col("ochash").alias("chash"),
+            (F.col("skip") + F.col("first")).alias("first"),
+            (F.col("skip") + F.col("last")).alias("last"),
         )
-        crowded = stage(keys.where(F.col("rows") > group_rows), "crowded-anchors").frame
-        count = crowded.count()
-        small = contexts.join(_sized(crowded.select("key"), count), "key", "left_anti") if count else contexts
-        names = [field.split()[0] for field in _CONTEXTS.split(", ")]
-        dealt = small.select(*names).repartition("key").sortWithinPartitions("key", "chash")
-        found.append(map_batches(dealt, lambda batches: _index_groups(batches, length), _FOUND))
-        if not count:
-            break
-        alike = contexts.join(_sized(crowded.where("least = most").select("key"), count), "key")
-        last = F.col("skip") + F.col("windows") - 1
-        found.append(alike.select(F.col("okey").alias("key"), F.col("ochash").alias("chash"), F.col("skip").alias("first"), last.alias("last")))
-        level += 1
-        mixed = contexts.join(_sized(crowded.where("least <> most").select("key"), count), "key", "left_semi")
-        contexts = stage(_split(mixed.select(*names), level, length), f"contexts-{level}").frame
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    return whole
+    )
 
 
 def find_repeats(blocks: Blocks, length: int = LENGTH, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(block, row, start, end): bytes of windows that start anywhere else too."""
     anchors = find_anchors(blocks, length)
-    # Counts and extremes combine before they move, however often an anchor occurs.
-    repeated = (
+    # Counts and extremes combine before they move, however often an anchor occurs. They are
+    # written first: a join of two plain shuffles is one that Spark can split at a hot key.
+    repeated = stage(
         anchors.groupBy("key")
         .agg(F.count("*").alias("times"), F.min("chash").alias("least"), F.max("chash").alias("most"))
         .where("times > 1")
-        .select("key", (F.col("least") != F.col("most")).alias("mixed"))
-    )
+        .select("key", (F.col("least") != F.col("most")).alias("mixed")),
+        "anchors-met-again",
+    ).frame
     placed = stage(anchors.join(repeated, "key"), "repeated-anchors").frame
     chosen = (
         placed.where("mixed")

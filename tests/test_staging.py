@@ -1,4 +1,3 @@
-import os
 import subprocess
 import sys
 import time
@@ -78,11 +77,11 @@ def test_staged_tables_go_when_the_application_ends(tmp_path):
         "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')"
         f".config('spark.checkpoint.dir', '{tmp_path}').getOrCreate()\n"
         "stage(spark.range(3), 'kept')\n"
-        f"import os; assert len(os.listdir('{tmp_path}')) == 1\n"
+        f"import glob; assert glob.glob('{tmp_path}/kept-*')\n"
         "spark.stop()\n"
     )
     subprocess.run([sys.executable, "-c", script], check=True, cwd=Path(__file__).parent.parent, timeout=120)
     deadline = time.monotonic() + 30
-    while os.listdir(tmp_path) and time.monotonic() < deadline:
+    while list(tmp_path.glob("kept-*")) and time.monotonic() < deadline:
         time.sleep(0.5)
-    assert os.listdir(tmp_path) == []
+    assert not list(tmp_path.glob("kept-*"))

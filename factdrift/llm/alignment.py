@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ from factdrift.staging import BROADCAST_BYTES, stage, weighted_join
 
 # Up to this many distinct pairs tasks look counts up in arrays of 17 bytes a pair.
 LOOKUP_PAIRS = 3_000_000
-_PENDING_PAIRS = 1 << 21
+_PENDING_PAIRS = 1 << 19
+# Characters that are aligned at a time.
+_BLOCK = BLOCK >> 1
 _B_BITS = 24
 
 _tables: dict[tuple[str, str], Tables] = {}
@@ -150,9 +153,9 @@ def align_distinct(docs: DataFrame, first: str, second: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _loaded(first, second)
         for batch in batches:
-            texts, n = batch.column(0).to_pylist(), batch.column(1)
-            for start, end in blocks(map(len, texts), BLOCK):
-                yield _aligned_rows(texts[start:end], n[start:end], tables)
+            texts, n = batch.column(0), batch.column(1)
+            for start, end in blocks(pc.binary_length(texts).to_pylist(), _BLOCK):
+                yield _aligned_rows(texts[start:end].to_pylist(), n[start:end], tables)
 
     return map_batches(distinct.select(F.col("text").cast("binary"), "n"), run, _ALIGNED)
 

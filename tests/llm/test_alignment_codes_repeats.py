@@ -284,3 +284,11 @@ def test_pieces_equal_the_library(texts):
 
 def test_model_is_encoded_word_by_word():
     assert ENCODER._by_word
+
+
+def test_long_texts_are_cut_where_words_start():
+    rng = np.random.default_rng(5)
+    text = "  ".join("".join(rng.choice(list("abc é漢"), 9)) for _ in range(60_000))
+    ids, counts = ENCODER.encode(["x", text, "", text[:300_000] + " "])
+    cuts = np.split(ids, np.cumsum(counts)[:-1])
+    assert [x.tolist() for x in cuts] == [ENCODER.model.encode(t) for t in ("x", text, "", text[:300_000] + " ")]

@@ -290,6 +290,20 @@ ORACLES: dict[str, str] = {
     "w8_gapped_windows": _customer(_IN_WINDOWS, _windows(1, 2)),
     "m1_build_transactions": _customer(_TRANSACTIONS, _windows(), _transactions(True)),
     "m2_itemsets": _mined(CUSTOMER_FACTS, _ITEMSETS),
+    "m2_vertical_itemsets": _mined(ORDER_FACTS, _ITEMSETS),
+    "m5_incremental_work": _mined(
+        CUSTOMER_FACTS,
+        """SELECT k AS window_id, count(*) AS changed_facts
+        FROM (SELECT *, max(now <> was) OVER (PARTITION BY k, subject) AS changed
+              FROM (SELECT k, subject, item, bool_or(now) AS now, bool_or(NOT now) AS was
+                    FROM (SELECT window_id AS k, subject, item, true AS now FROM items SEMI JOIN singles USING (item)
+                          UNION ALL
+                          SELECT window_id + 1, subject, item, false FROM items SEMI JOIN singles USING (item))
+                    GROUP BY k, subject, item))
+        WHERE changed AND k > 0 AND k IN (SELECT window_id FROM sizes) GROUP BY k""",
+        width=3,
+    ),
+    "m6_incremental_rules": _mined(CUSTOMER_FACTS, _RULE_VALUES, width=3),
     "m3_rules": _mined(ORDER_FACTS, _RULE_VALUES),
     "m4_rule_key": _mined(CUSTOMER_FACTS, "SELECT rule_key, count(*) AS n FROM rules GROUP BY rule_key"),
     "m5_every_window": _mined(CUSTOMER_FACTS, _FOUND),

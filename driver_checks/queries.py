@@ -500,6 +500,13 @@ def m2_itemsets(spark, sf_dir):
     return flat(customer_rules(spark, sf_dir).itemsets)
 
 
+def m2_vertical_itemsets(spark, sf_dir):
+    """Itemsets over the line items, by bitmaps."""
+    facts = order_facts(spark, sf_dir)
+    itemsets, _ = fd.mine_vertical(facts, fd.plan_windows(facts, WIDTH, STEP), MIN_SUPPORT, MIN_CONFIDENCE)
+    return flat(itemsets)
+
+
 def _rule_values(rules: DataFrame) -> DataFrame:
     return flat(rules.select("window_id", "rule_key", "confidence", "lift", "support"))
 
@@ -529,6 +536,22 @@ def m6_mine_rules(spark, sf_dir):
     return _rule_values(rules)
 
 
+def _incremental(spark, sf_dir) -> fd.IncrementalRules:
+    facts = customer_facts(spark, sf_dir)
+    return fd.mine_incremental(facts, fd.plan_windows(facts, 3, 1), MIN_SUPPORT, MIN_CONFIDENCE)
+
+
+def m6_incremental_rules(spark, sf_dir):
+    """Rules of windows that overlap, each from the one before."""
+    return _rule_values(_incremental(spark, sf_dir).rules)
+
+
+def m5_incremental_work(spark, sf_dir):
+    """Facts that each window after the first reads to update its counts."""
+    work = _incremental(spark, sf_dir).work
+    return flat(work.where("window_id > 0").select("window_id", "changed_facts"))
+
+
 def m7_mine(spark, sf_dir):
     _, rules = fd.mine(fd.assign_windows(user_facts(spark, sf_dir), WIDTH), MIN_SUPPORT, MIN_CONFIDENCE)
     return _rule_values(rules)
@@ -706,10 +729,13 @@ _FUNCTIONS = (
     w8_gapped_windows,
     m1_build_transactions,
     m2_itemsets,
+    m2_vertical_itemsets,
     m3_rules,
     m4_rule_key,
     m5_every_window,
+    m5_incremental_work,
     m6_mine_rules,
+    m6_incremental_rules,
     m7_mine,
     m8_evolution,
     u1_union_snapshots,

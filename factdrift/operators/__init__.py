@@ -1,3 +1,4 @@
+from .incremental import IncrementalRules, mine_incremental
 from .mining import mine, mine_rules, mine_triples
 from .snapshots import ingest_snapshot, ingest_snapshots, tag_snapshot, union_all
 from .trajectories import (
@@ -15,6 +16,7 @@ from .transactions import (
     transaction_sizes,
     transactions_per_window,
 )
+from .vertical import mine_vertical
 from .windows import (
     WindowPlan,
     assign_windows,
@@ -25,6 +27,7 @@ from .windows import (
 )
 
 __all__ = [
+    "IncrementalRules",
     "WindowPlan",
     "assign_windows",
     "build_transactions",
@@ -36,8 +39,10 @@ __all__ = [
     "ingest_snapshot",
     "ingest_snapshots",
     "mine",
+    "mine_incremental",
     "mine_rules",
     "mine_triples",
+    "mine_vertical",
     "ordered_snapshots",
     "persistence_label",
     "plan_windows",

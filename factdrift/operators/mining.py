@@ -180,26 +180,50 @@ def _rules(
     )
     splits = splits.withColumn("ids", F.array_remove("ids", F.col("item_id")))
     antecedents = itemsets.select(
-        "ids", F.col("items").alias("antecedent"), F.col("freq").alias("n_antecedent")
+        "window_id", "ids", F.col("items").alias("antecedent"), F.col("freq").alias("n_antecedent")
     )
     confident = (
-        splits.join(antecedents, "ids")
+        splits.join(antecedents, ["window_id", "ids"])
         .withColumn("confidence", F.col("n_both") / F.col("n_antecedent"))
         .where(F.col("confidence") >= F.lit(float(min_confidence)))
     )
     consequents = singles.select(
+        "window_id",
         "item_id",
         F.array("item").alias("consequent"),
         (F.col("freq") / F.col("n_tx")).alias("consequent_support"),
     )
     return (
-        bounded_join(confident, consequents, ["item_id"], dictionary_bytes, ["ids"])
+        bounded_join(confident, consequents, ["window_id", "item_id"], dictionary_bytes, ["ids"])
         .withColumn("lift", F.col("confidence") / F.col("consequent_support"))
         .withColumn("rule_key", rule_key("antecedent", "consequent"))
         .select(_RULES)
     )
 
 
+def decoded_results(
+    found: DataFrame, singles: DataFrame, singles_bytes: int, min_confidence: float
+) -> tuple[DataFrame, DataFrame]:
+    """Itemsets and rules of frequent sets ``window_id, ids, freq``.
+
+    ``singles`` has ``window_id, item, item_id, freq, n_tx`` of the frequent items.
+    """
+    members = bounded_join(
+        found.withColumn("item_id", F.explode("ids")),
+        singles.select("window_id", "item", "item_id", "n_tx"),
+        ["window_id", "item_id"],
+        singles_bytes,
+        ["ids"],
+    )
+    itemsets = stage(
+        members.groupBy("window_id", "ids", "freq", "n_tx")
+        .agg(F.sort_array(F.collect_list("item")).alias("items"))
+        .withColumn("support", F.col("freq") / F.col("n_tx")),
+        "itemsets",
+    ).frame
+    return itemsets.select(_ITEMSETS), _rules(itemsets, singles, singles_bytes, min_confidence)
+
+
 def mine_rules(
     transactions: DataFrame,
     min_support: float = 0.3,

@@ -185,6 +185,11 @@ ORACLES: dict[str, str] = {
         FROM facts GROUP BY predicate"""
     ),
     "s6_line_filter": _DOCUMENTS,
+    "s6_line_counts": _documents(
+        """SELECT count(*) + 4 * (SELECT count(*) FROM documents) AS n_lines, count(*) AS n_triples,
+        2 * (SELECT count(*) FROM documents) AS n_skipped, 2 * (SELECT count(*) FROM documents) AS n_malformed
+        FROM facts"""
+    ),
     "s7_failfast": _DOCUMENTS,
     "s7_refuses_malformed": _documents(
         "SELECT predicate, count(*) AS n, true AS refused FROM facts GROUP BY predicate"
@@ -192,6 +197,11 @@ ORACLES: dict[str, str] = {
     "s8_unescape": "SELECT doc_id, text FROM documents",
     "s9_read_store": _customer(_FACT_COLUMNS),
     "s10_pruned_read": _customer(_FACT_COLUMNS + " WHERE snapshot IN ('1997', '1998')"),
+    "s10_windowed_read": _with(
+        USER_FACTS,
+        _windows(1, 3),
+        select="SELECT window_id, snapshot, count(*) AS n FROM facts JOIN members USING (snapshot) GROUP BY ALL",
+    ),
     "s11_rules_file_summary": """SELECT
         (SELECT count(*) FROM lineitem) + (SELECT count(*) FROM part) + 2 * (SELECT count(*) FROM documents)
           AS n_rules,
@@ -209,6 +219,9 @@ ORACLES: dict[str, str] = {
     "n2_ingest_snapshot": _TAGGED,
     "n3_ingest_snapshots": _customer(_FACT_COLUMNS),
     "n4_write_store": _customer("SELECT snapshot, snapshot_ts, count(*) AS n FROM facts GROUP BY ALL"),
+    "n4_replace_snapshot": _customer(
+        _FACT_COLUMNS + " WHERE snapshot <> '1997' OR predicate <> 'segment'"
+    ),
     "n5_summary_sink": _mined(
         CUSTOMER_FACTS,
         f"""SELECT 'customers' AS dataset, 'ok' AS status, 'true' AS supports_temporal,

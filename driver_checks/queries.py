@@ -13,7 +13,7 @@ import factdrift as fd
 from factdrift.functions import item_token, rule_key, short_label, unescape_literal
 from factdrift.operators.snapshots import union_all
 from factdrift.staging import scratch_path
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,6 +132,15 @@ def s6_line_filter(spark, sf_dir):
     return fd.parse_lines(lines)
 
 
+def s6_line_counts(spark, sf_dir):
+    """Lines of every kind, counted by the pass that parses them."""
+    counts = Observation()
+    lines = _with_noise(_lines(document_facts(spark, sf_dir)), sf_dir, malformed=True)
+    parsed = fd.read_ntriples(spark, _written(lines.select("value"), "noisy-nt"), observation=counts)
+    parsed.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([counts.get], "n_lines long, n_triples long, n_skipped long, n_malformed long")
+
+
 def s7_failfast(spark, sf_dir):
     lines = _with_noise(_lines(document_facts(spark, sf_dir)), sf_dir, malformed=False)
     return fd.parse_lines(lines, mode="failfast")
@@ -173,6 +182,14 @@ def s10_pruned_read(spark, sf_dir):
     return flat(fd.read_store(spark, _store(spark, sf_dir), snapshots=["1997", "1998"]))
 
 
+def s10_windowed_read(spark, sf_dir):
+    """Every third day of the events' store; the calendar prunes the others at run time."""
+    path = scratch_path(spark, "store")
+    fd.write_store(user_facts(spark, sf_dir), path, rebalance=True)
+    windowed = fd.assign_windows(fd.read_store(spark, path), 1, 3)
+    return flat(windowed.groupBy("window_id", "snapshot").agg(F.count("*").alias("n")))
+
+
 def s11_rules_file_summary(spark, sf_dir):
     """Texts with their line breaks, quoted, with a header and without; plain lines."""
     path = scratch_path(spark, "rule-files")
@@ -279,6 +296,15 @@ def n4_write_store(spark, sf_dir):
     )
 
 
+def n4_replace_snapshot(spark, sf_dir):
+    """A store in which the facts of 1997 were written anew, twice, less those of one predicate."""
+    path = _store(spark, sf_dir)
+    anew = customer_facts(spark, sf_dir).where("snapshot = '1997' AND predicate <> 'segment'")
+    for _ in range(2):
+        fd.replace_snapshots(anew, path, rebalance=True)
+    return flat(fd.read_store(spark, path))
+
+
 def _summary(spark, sf_dir) -> DataFrame:
     return fd.run_pipeline(
         spark, "customers", customer_facts(spark, sf_dir), MIN_SUPPORT, MIN_CONFIDENCE, TAU, WIDTH, STEP
@@ -691,11 +717,13 @@ _FUNCTIONS = (
     s4_object_kind,
     s5_empty_to_null,
     s6_line_filter,
+    s6_line_counts,
     s7_failfast,
     s7_refuses_malformed,
     s8_unescape,
     s9_read_store,
     s10_pruned_read,
+    s10_windowed_read,
     s11_rules_file_summary,
     s12_rule_export,
     s13_measure_extraction,
@@ -703,6 +731,7 @@ _FUNCTIONS = (
     n2_ingest_snapshot,
     n3_ingest_snapshots,
     n4_write_store,
+    n4_replace_snapshot,
     n5_summary_sink,
     n6_rule_measures_sink,
     p1_literal_filter,

@@ -21,6 +21,7 @@ _WORD_SHIFT = 6
 # Up to this many windows a fact's windows are bits of a few longs.
 MASK_WINDOWS = 8 * _BITS
 _WINDOW_BITS = 9
+_SPANS = "snapshot string, n_triples long, first_window int, last_window int"
 
 
 @dataclass(frozen=True)
@@ -75,21 +76,19 @@ class MaskedItems:
 
     @property
     def rows(self) -> DataFrame:
-        return self.staged.frame.select(self._window_ids().alias("window_id"), "item")
+        return self.staged.frame.select(F.explode(self.window_ids()).alias("window_id"), "item")
 
     @property
     def sizes(self) -> DataFrame:
         entities = self.staged.frame.groupBy("subject").agg(*_merged(self.words))
-        return transactions_per_window(entities.select(self._window_ids().alias("window_id")))
-
-    def _window_ids(self) -> Column:
-        """Explode the windows whose bit is set."""
-        return F.explode(
-            F.concat(
-                *(
-                    F.filter(ids, lambda k: F.getbit(word, k - first) == 1)
-                    for word, first, ids in self._word_ranges()
-                )
+        return transactions_per_window(entities.select(F.explode(self.window_ids()).alias("window_id")))
+
+    def window_ids(self) -> Column:
+        """The windows whose bit is set, in order."""
+        return F.concat(
+            *(
+                F.filter(ids, lambda k: F.getbit(word, k - first) == 1)
+                for word, first, ids in self._word_ranges()
             )
         )
 
@@ -218,25 +217,27 @@ def items_of_triples(
     items = fact_items(triples, include_literals).select("snapshot", "subject", "item")
     if plan.rows is None or plan.n_windows > MASK_WINDOWS:
         spans = ["first_window", "last_window"]
-        tagged = join_plan(items, plan, plan.covered, spans)
+        tagged = join_plan(items, plan, plan.spans, spans)
         window_id = F.explode(F.sequence(*spans)).alias("window_id")
         return _long_items(tagged.select(window_id, "subject", "item").distinct())
 
     words = [f"w{i}" for i in range(max(1, -(-plan.n_windows // _BITS)))]
     masks = triples.sparkSession.createDataFrame(
         [
-            (row["snapshot"], row["n_triples"], *_mask(row["first_window"], row["last_window"], len(words)))
+            (
+                *(row[name] for name in ("snapshot", "n_triples", "first_window", "last_window")),
+                *_mask(row["first_window"], row["last_window"], len(words)),
+            )
             for row in plan.rows
-            if row["first_window"] <= row["last_window"]
         ],
-        ", ".join(["snapshot string", "n_triples long", *(f"{word} long" for word in words)]),
+        ", ".join([_SPANS, *(f"{word} long" for word in words)]),
     )
     facts = join_plan(items, plan, masks, words).groupBy("subject", "item").agg(*_merged(words))
     return MaskedItems(stage(facts, "fact-windows"), words, plan.n_windows)
 
 
 def _mask(first: int, last: int, n_words: int) -> list[int]:
-    """Bits ``first`` to ``last`` as signed 64-bit words, lowest bits first."""
-    bits = (1 << (last + 1)) - (1 << first)
+    """Bits ``first`` to ``last`` as signed 64-bit words, lowest bits first; none if they are reversed."""
+    bits = (1 << (last + 1)) - (1 << first) if first <= last else 0
     words = [(bits >> (_BITS * i)) & ((1 << _BITS) - 1) for i in range(n_words)]
     return [word - (1 << _BITS) if word >> (_BITS - 1) else word for word in words]

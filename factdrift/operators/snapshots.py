@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from datetime import datetime
+from itertools import pairwise
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.ntriples import parse_lines
+from ..staging import bounded_join
 
 
 def tag_snapshot(df: DataFrame, snapshot: str, snapshot_ts: datetime) -> DataFrame:
@@ -40,20 +43,54 @@ def ingest_snapshot(
     return ingest_snapshots(spark, {snapshot: (path, snapshot_ts)}, mode)
 
 
+def _matched_roots(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders that a path or glob stands for, as Spark names them."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    return [_NO_AUTHORITY.sub(r"\1/", status.getPath().toUri().toString()) for status in found or ()]
+
+
+# ``file:///a`` and ``file:/a`` are the same place.
+_NO_AUTHORITY = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*:)///")
+# Assumed size of a snapshot's entry in the broadcast map of paths.
+_ROOT_BYTES = 1024
+
+
 def ingest_snapshots(
     spark: SparkSession,
     snapshots: Mapping[str, tuple[str, datetime]],
     mode: str = "permissive",
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Read ``{id: (path, timestamp)}`` into one frame of temporal triples.
 
-    Lines are tagged and united first and parsed together. Every task still
-    reads one snapshot's files, which keeps a partitioned write free of shuffles.
+    All paths are one scan, however many snapshots there are; a line's snapshot follows
+    from the path of its file, looked up in a map with one entry for each path. Only paths
+    within each other, whose files belong to several snapshots, are scans of their own.
+    Small files share tasks, so a task can hold several snapshots.
     """
     if not snapshots:
         raise ValueError("No snapshots to ingest.")
-    lines = [
-        tag_snapshot(spark.read.text(str(path)), snapshot, snapshot_ts)
+    roots = [
+        (root, snapshot, snapshot_ts)
         for snapshot, (path, snapshot_ts) in snapshots.items()
+        for root in _matched_roots(spark, str(path))
     ]
-    return parse_lines(union_all(lines), mode)
+    names = sorted({root + "/" for root, _, _ in roots})
+    nested = len(names) < len(roots) or any(b.startswith(a) for a, b in pairwise(names))
+    missing = len({snapshot for _, snapshot, _ in roots}) < len(snapshots)
+    if nested or missing or len(roots) == 1:
+        # A missing path is Spark's to complain about.
+        lines = [
+            tag_snapshot(spark.read.text(str(path)), snapshot, snapshot_ts)
+            for snapshot, (path, snapshot_ts) in snapshots.items()
+        ]
+        return parse_lines(union_all(lines), mode, observation)
+    file = F.regexp_replace(F.col("_metadata.file_path"), _NO_AUTHORITY.pattern, "$1/")
+    depths = sorted({root.count("/") + 1 for root, _, _ in roots})
+    above = F.array_distinct(F.array(*(F.substring_index(file, "/", depth) for depth in depths)))
+    paths = [str(path) for path, _ in snapshots.values()]
+    lines = spark.read.text(paths).select("value", (above[0] if len(depths) == 1 else F.explode(above)).alias("_root"))
+    of_root = spark.createDataFrame(roots, "_root string, snapshot string, snapshot_ts timestamp")
+    tagged = bounded_join(lines, of_root, ["_root"], len(roots) * _ROOT_BYTES, ["value"])
+    return parse_lines(tagged.drop("_root"), mode, observation)

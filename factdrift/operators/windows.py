@@ -8,9 +8,9 @@ join is needed to find them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..staging import BROADCAST_BYTES, stage, weighted_join
@@ -18,8 +18,6 @@ from ..staging import BROADCAST_BYTES, stage, weighted_join
 # Assumed size of one row of the snapshot calendar, ids included.
 _CALENDAR_ROW_BYTES = 256
 _DRIVER_ROWS = BROADCAST_BYTES // _CALENDAR_ROW_BYTES
-# A snapshot that is in no window is pruned by a literal list up to this length.
-_PRUNE_LIST = 1000
 
 
 def _check(width: int, step: int) -> None:
@@ -29,40 +27,68 @@ def _check(width: int, step: int) -> None:
         raise ValueError("Windows must advance by one snapshot or more.")
 
 
-def ordered_snapshots(df: DataFrame) -> DataFrame:
-    """Snapshots by timestamp, then id: ``position, snapshot, snapshot_ts, n_triples``.
-
-    One pass with map-side combining; only one row per snapshot and task is
-    shuffled. A snapshot id with two timestamps is an error.
-    """
+def _snapshots(df: DataFrame) -> DataFrame:
+    """``snapshot, snapshot_ts, n_triples``, each snapshot once."""
     found = df.groupBy("snapshot").agg(
         F.min("snapshot_ts").alias("snapshot_ts"),
         F.max("snapshot_ts").alias("_latest"),
         F.count("*").alias("n_triples"),
     )
     ambiguous = F.concat(F.lit("Snapshot with more than one timestamp: "), "snapshot")
-    position = F.row_number().over(W.orderBy("snapshot_ts", "snapshot")) - 1
-    # The global order runs over snapshots, not triples.
     return found.select(
-        position.alias("position"),
         "snapshot",
         F.when(F.col("snapshot_ts").eqNullSafe(F.col("_latest")), F.col("snapshot_ts"))
         .otherwise(F.raise_error(ambiguous).cast("timestamp"))
         .alias("snapshot_ts"),
         "n_triples",
-    ).orderBy("position")
+    )
+
+
+_CALENDAR_SCHEMA = "position int, snapshot string, snapshot_ts timestamp, n_triples long"
+_CALENDAR = [field.split()[0] for field in _CALENDAR_SCHEMA.split(", ")]
+_LOCAL_BITS = 33
+
+
+def ordered_snapshots(df: DataFrame) -> DataFrame:
+    """Snapshots by timestamp, then id: ``position, snapshot, snapshot_ts, n_triples``.
+
+    One pass with map-side combining; only one row per snapshot and task is
+    shuffled. A snapshot id with two timestamps is an error.
+
+    Snapshots are dealt to tasks by range and numbered within their task; a position is
+    that number and the snapshots of the tasks before. Only the tasks' counts reach the
+    driver, and the numbered rows are written, so a position stays what it is.
+    """
+    order = ["snapshot_ts", "snapshot"]
+    dealt = _snapshots(df).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = stage(dealt.withColumn("_place", F.monotonically_increasing_id()), "snapshots").frame
+    numbered = numbered.withColumn("_task", F.shiftright("_place", _LOCAL_BITS))
+    counts = numbered.groupBy("_task").agg(F.count("*").alias("n")).collect()
+    tasks = sorted((row["_task"], row["n"]) for row in counts)
+    before = accumulate((n for _, n in tasks), initial=0)
+    starts = df.sparkSession.createDataFrame(
+        [(task, start) for (task, _), start in zip(tasks, before)], "_task long, _start long"
+    )
+    local = F.col("_place").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    placed = numbered.join(F.broadcast(starts), "_task").withColumn("position", (F.col("_start") + local).cast("int"))
+    return placed.select(_CALENDAR).orderBy("position")
 
 
 def window_spans(
-    snapshots: DataFrame, width: int, step: int = 1, include_partial: bool = False
+    snapshots: DataFrame,
+    width: int,
+    step: int = 1,
+    include_partial: bool = False,
+    n_snapshots: int | None = None,
 ) -> DataFrame:
     """Add ``first_window`` and ``last_window``, the ids of a snapshot's windows.
 
     ``first_window > last_window`` marks a snapshot in no window: one between
     windows (``step > width``) or in a tail too short for a full window.
+    ``n_snapshots`` is counted where it is not given.
     """
     _check(width, step)
-    total = F.count("*").over(W.partitionBy())
+    total = F.lit(snapshots.count() if n_snapshots is None else n_snapshots)
     tail = F.lit(1 if include_partial else width)
     last = F.floor((total - tail) / step)
     return snapshots.withColumns(
@@ -117,18 +143,20 @@ class WindowPlan:
     n_windows: int
     n_triples: int
 
-    @property
-    def covered(self) -> DataFrame:
-        return self.spans.where("first_window <= last_window")
-
 
 def plan_windows(
     df: DataFrame, width: int, step: int = 1, include_partial: bool = False
 ) -> WindowPlan:
     """Find the snapshots of ``df`` and lay windows over them, in one pass."""
-    spans = window_spans(ordered_snapshots(df), width, step, include_partial)
-    rows = spans.limit(_DRIVER_ROWS + 1).collect()
-    if len(rows) <= _DRIVER_ROWS:
+    _check(width, step)
+    found = _snapshots(df).limit(_DRIVER_ROWS + 1).collect()
+    if len(found) <= _DRIVER_ROWS:
+        # As Spark orders them: nulls first, ids by their bytes, as code points are.
+        found.sort(key=lambda r: [(r[c] is not None, r[c]) for c in ("snapshot_ts", "snapshot")])
+        calendar = [(k, r["snapshot"], r["snapshot_ts"], r["n_triples"]) for k, r in enumerate(found)]
+        local = df.sparkSession.createDataFrame(calendar, _CALENDAR_SCHEMA)
+        spans = window_spans(local, width, step, include_partial, len(found))
+        rows = spans.collect()
         last = max((row["last_window"] for row in rows), default=-1)
         return WindowPlan(
             spans=df.sparkSession.createDataFrame(rows, spans.schema),
@@ -137,7 +165,8 @@ def plan_windows(
             n_windows=max(last, -1) + 1,
             n_triples=sum(row["n_triples"] for row in rows),
         )
-    staged = stage(spans, "spans").frame
+    snapshots = ordered_snapshots(df)
+    staged = stage(window_spans(snapshots, width, step, include_partial), "spans").frame
     totals = staged.agg(
         F.count("*").alias("snapshots"),
         F.max("last_window").alias("last"),
@@ -149,12 +178,11 @@ def plan_windows(
 def join_plan(df: DataFrame, plan: WindowPlan, side: DataFrame, columns: list[str]) -> DataFrame:
     """Join triples to per-snapshot ``columns`` of ``side``, pruning the rest.
 
-    ``side`` has one row per covered snapshot, with its ``n_triples``.
+    ``side`` has one row per snapshot, with its ``n_triples`` and windows. The filter on
+    them lets Spark prune a partitioned store by the snapshots that are left when the
+    calendar has been broadcast, however many there are.
     """
-    if plan.rows is not None:
-        covered = [r["snapshot"] for r in plan.rows if r["first_window"] <= r["last_window"]]
-        if len(covered) < plan.n_snapshots and len(covered) <= _PRUNE_LIST:
-            df = df.where(F.col("snapshot").isin(covered))
+    side = side.where("first_window <= last_window")
     return weighted_join(
         df,
         side.select("snapshot", F.col("n_triples").alias("weight"), *columns),
@@ -179,7 +207,7 @@ def assign_windows(
     """
     _check(width, step)
     plan = plan or plan_windows(df, width, step, include_partial)
-    joined = join_plan(df, plan, plan.covered, ["first_window", "last_window"])
+    joined = join_plan(df, plan, plan.spans, ["first_window", "last_window"])
     return joined.select(
         *(F.col(name) for name in df.columns), F.explode(_window_ids()).alias("window_id")
     )

@@ -10,7 +10,7 @@ from .ntriples import (
 )
 from .rule_exports import read_rule_export, rule_measures
 from .rule_files import rules_file_summary
-from .store import TEMPORAL_SCHEMA, read_store, write_store
+from .store import TEMPORAL_SCHEMA, read_store, replace_snapshots, write_store
 
 __all__ = [
     "BLANK",
@@ -24,6 +24,7 @@ __all__ = [
     "read_rule_export",
     "read_store",
     "render_lines",
+    "replace_snapshots",
     "rule_measures",
     "rules_file_summary",
     "write_rule_measures",

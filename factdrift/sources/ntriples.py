@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,23 +52,39 @@ _BLANK_OR_COMMENT = r"(?s)\A\s*(?:#.*)?\z"
 MODES = ("permissive", "failfast")
 
 
-def parse_lines(lines: DataFrame, mode: str = "permissive") -> DataFrame:
+def parse_lines(
+    lines: DataFrame, mode: str = "permissive", observation: Observation | None = None
+) -> DataFrame:
     """Turn lines (column ``value``) into triples; other columns are kept.
 
     Comments and blank lines are skipped. A malformed line is skipped too when
     ``mode`` is ``permissive`` and fails the job when it is ``failfast``.
+
+    An ``observation`` counts ``n_lines``, ``n_triples``, ``n_skipped`` (blank lines and
+    comments) and ``n_malformed`` in the pass that parses; it has them once the first
+    action on the triples has run.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     kept = [name for name in lines.columns if name != "value"]
     fields = F.split(F.regexp_replace("value", F.lit(_LINE), F.lit(_FIELDS)), _SEP, 7)
-    source = ["value"] if mode == "failfast" else []
+    source = ["value"] if mode == "failfast" or observation is not None else []
     matched = lines.select(*source, *kept, F.explode(F.array(fields)).alias("_f"))
 
     def field(position: int) -> Column:
         return F.col("_f").getItem(position)
 
     is_statement = field(1) != ""
+    if observation is not None:
+        # Only lines that are no statements are looked at again.
+        skipped = F.when(is_statement, False).otherwise(F.col("value").rlike(_BLANK_OR_COMMENT))
+        matched = matched.observe(
+            observation,
+            F.count("*").alias("n_lines"),
+            F.count_if(is_statement).alias("n_triples"),
+            F.count_if(skipped).alias("n_skipped"),
+            F.count_if(~is_statement & ~skipped).alias("n_malformed"),
+        )
     if mode == "failfast":
         is_statement = (
             F.when(is_statement, True)
@@ -93,14 +109,17 @@ def parse_lines(lines: DataFrame, mode: str = "permissive") -> DataFrame:
 
 
 def read_ntriples(
-    spark: SparkSession, path: str | Sequence[str], mode: str = "permissive"
+    spark: SparkSession,
+    path: str | Sequence[str],
+    mode: str = "permissive",
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Read one N-Triples file, a directory, a glob or a list of these.
 
     Compressed files are read in place; bzip2 is split over tasks, gzip is not.
     """
     paths = [str(path)] if not isinstance(path, (list, tuple)) else [str(p) for p in path]
-    return parse_lines(spark.read.text(paths), mode)
+    return parse_lines(spark.read.text(paths), mode, observation)
 
 
 def render_lines(triples: DataFrame) -> DataFrame:

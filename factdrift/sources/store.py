@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,27 @@ def write_store(
     default write needs no shuffle. ``rebalance`` is for frames whose tasks mix
     snapshots: it gathers each snapshot in few files, and adaptive execution
     splits a snapshot that is larger than the others.
+
+    ``overwrite`` replaces the whole store whatever the session's settings, ``append``
+    adds; see ``replace_snapshots`` for writing one snapshot again.
     """
+    _partitioned(df, rebalance).option("partitionOverwriteMode", "static").mode(mode).parquet(str(directory))
+
+
+def replace_snapshots(df: DataFrame, directory: str, rebalance: bool = False) -> None:
+    """Write the snapshots of ``df`` in place of what the store has of them.
+
+    Other snapshots stay as they are, and doing it again changes nothing, so a write that
+    failed can be repeated. A snapshot without triples in ``df`` is not touched. ``df`` must
+    not read the snapshots that it replaces.
+    """
+    _partitioned(df, rebalance).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(str(directory))
+
+
+def _partitioned(df: DataFrame, rebalance: bool) -> DataFrameWriter:
     if rebalance:
         df = df.hint("rebalance", "snapshot")
-    df.write.mode(mode).partitionBy("snapshot").parquet(str(directory))
+    return df.write.partitionBy("snapshot")
 
 
 def read_store(

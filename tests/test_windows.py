@@ -3,8 +3,17 @@ from datetime import datetime
 import factdrift.operators.windows as windows
 import factdrift.staging as staging
 import pytest
-from factdrift import assign_windows, build_windows, ordered_snapshots, plan_windows
+from factdrift import (
+    assign_windows,
+    build_windows,
+    ordered_snapshots,
+    plan_windows,
+    read_store,
+    window_spans,
+    write_store,
+)
 from pyspark.errors import SparkRuntimeException
+from pyspark.sql import functions as F
 
 
 def triples(spark, *snapshots):
@@ -78,24 +87,15 @@ def test_columns(spark):
     assert dict(tagged.dtypes)["window_id"] == "int"
 
 
-def test_more_snapshots_than_the_driver_takes(spark, monkeypatch):
-    df = years(spark, 7)
-    usual = sorted(assign_windows(df, 3, 2).collect())
-    monkeypatch.setattr(windows, "_DRIVER_ROWS", 3)
-    monkeypatch.setattr(staging, "BROADCAST_BYTES", 0)
-    plan = plan_windows(df, 3, 2)
-    assert plan.rows is None and (plan.n_snapshots, plan.n_windows, plan.n_triples) == (7, 3, 7)
-    assert sorted(assign_windows(df, 3, 2).collect()) == usual
-
-
-def test_uncovered_snapshots_are_pruned_from_the_store_scan(spark, tmp_path):
-    from factdrift import read_store, write_store
-    from pyspark.sql import functions as F
-
-    nothing = F.lit(None).cast("string")
-    full = years(spark, 4).withColumns({"object_kind": F.lit("iri"), "datatype": nothing, "language": nothing})
-    store = str(tmp_path / "store")
-    write_store(full, store)
-    gapped = assign_windows(read_store(spark, store), 1, 2)
-    assert gapped.count() == 2
-    assert "snapshot#" in gapped._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+def test_the_calendar_prunes_the_store_when_it_runs(spark, tmp_path):
+    frame = spark.range(40).select(
+        F.lit("a").alias("subject"), F.lit("p").alias("predicate"), F.col("id").cast("string").alias("object"),
+        F.lit("iri").alias("object_kind"), F.lit(None).cast("string").alias("datatype"), F.lit(None).cast("string").alias("language"),
+        F.timestamp_add("DAY", F.col("id").cast("int") % 8, F.lit("2020-01-01").cast("timestamp")).alias("snapshot_ts"),
+        F.concat(F.lit("s"), F.col("id") % 8).alias("snapshot"),
+    )
+    write_store(frame, str(tmp_path / "store"))
+    store = read_store(spark, str(tmp_path / "store"))
+    found = assign_windows(store, 1, 4)
+    assert "dynamicpruning" in found._jdf.queryExecution().toString().lower()
+    assert {(r.snapshot, r.window_id) for r in found.collect()} == {("s0", 0), ("s4", 1)}

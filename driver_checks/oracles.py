@@ -249,6 +249,14 @@ ORACLES: dict[str, str] = {
         f"""SELECT rule_key, {_rounded('persistence_score', 'confidence_drift')} FROM metrics
         WHERE antecedent = 'orderStatus=O' AND consequent = 'orderStatus=F'""",
     ),
+    "p5_applicable_rules": _mined(
+        CUSTOMER_FACTS,
+        """SELECT held.window_id, rule_key, count(*) AS n_customers
+        FROM (SELECT window_id, subject, list(item) AS held FROM items GROUP BY window_id, subject) held
+        JOIN (SELECT DISTINCT rule_key, string_split(antecedent, ',') AS wanted FROM rules) named
+          ON list_has_all(held.held, wanted)
+        GROUP BY ALL""",
+    ),
     "p6_persistence_label": _mined(
         CUSTOMER_FACTS,
         """SELECT rule_key, CASE WHEN occurrences > 1 THEN 'PERSISTENT' ELSE 'TRANSIENT' END AS kind
@@ -294,8 +302,8 @@ ORACLES: dict[str, str] = {
     "w3_partial_windows": _customer(_WINDOW_LIST, _windows(2, 1, True)),
     "w4_argument_checks": _with(
         USER_FACTS,
-        select="""SELECT snapshot, count(*) AS n_triples, true AS width_0, true AS width_minus_1,
-        true AS step_0, false AS neither FROM facts GROUP BY snapshot""",
+        _windows(1, 1),
+        select="SELECT window_id, snapshot, count(*) AS n_triples FROM facts JOIN members USING (snapshot) GROUP BY ALL",
     ),
     "w5_assign_windows": _customer(_IN_WINDOWS, _windows()),
     "w6_window_sizes": _customer(_WINDOW_LIST, _windows(3, 2, True)),
@@ -381,13 +389,32 @@ ORACLES: dict[str, str] = {
         f"""SELECT 'customers' AS dataset, 'ok' AS status, true AS supports_temporal, '' AS note,
         {_N_TRIPLES}, {_QUALITY}, {_EXTRA}, {_N_WINDOWS} FROM metrics""",
     ),
+    "t13_merged_states": _metric(
+        "antecedent",
+        "consequent",
+        "occurrences",
+        "first_window",
+        "last_window",
+        doubles=(
+            "temporal_support",
+            "mean_confidence",
+            "first_confidence",
+            "last_confidence",
+            "confidence_drift",
+            "confidence_drift_rate",
+            "confidence_volatility",
+            "persistence_score",
+        ),
+        facts=USER_FACTS,
+    ),
     "t12_window_count": _mined(
-        USER_FACTS, "SELECT window_id, rule_key, true AS zero, true AS negative, false AS one FROM rules"
+        USER_FACTS,
+        f"SELECT rule_key, {_rounded('temporal_support', 'persistence_score')} FROM metrics",
+        n="1",
+    ),
+    "e3_throughput": _customer(
+        "SELECT 'customers' AS dataset, count(*) AS n_input_triples, count(*) AS n_triples_in_time FROM facts"
     ),
-    "e3_throughput": """SELECT l_orderkey, l_linenumber, l_partkey AS n_input_triples,
-        round(l_quantity - 1, 6) AS runtime_sec,
-        CASE WHEN l_quantity = 1 THEN 0::DOUBLE ELSE round(l_partkey / (l_quantity - 1), 6) END
-          AS triples_per_sec FROM lineitem""",
     "e4_temporal_summary": _mined(
         CUSTOMER_FACTS, f"SELECT 'customers' AS dataset, {_EXTRA}, {_N_WINDOWS} FROM metrics"
     ),

@@ -373,8 +373,8 @@ def p3_window_slice(spark, sf_dir):
 
 
 def p4_changed_entities(spark, sf_dir):
-    sizes = fd.transaction_sizes(fd.assign_windows(user_facts(spark, sf_dir), 1))
-    return flat(fd.transactions_per_window(sizes.where("n_items > 1")))
+    transactions = fd.build_transactions(fd.assign_windows(user_facts(spark, sf_dir), 1))
+    return flat(fd.transactions_per_window(fd.changed_entities(transactions)))
 
 
 ANTECEDENT, CONSEQUENT = "orderStatus=O", "orderStatus=F"
@@ -389,6 +389,13 @@ def p5_rule_lookup(spark, sf_dir):
     )
 
 
+def p5_applicable_rules(spark, sf_dir):
+    """How many of a window's customers hold each rule's antecedent, of any size."""
+    items = fd.fact_items(_windowed(spark, sf_dir)).select("window_id", "subject", "item")
+    found = fd.applicable_rules(items, ["window_id", "subject"], customer_rules(spark, sf_dir).rules)
+    return flat(found.groupBy("window_id", "rule_key").agg(F.count("*").alias("n_customers")))
+
+
 def p6_persistence_label(spark, sf_dir):
     return flat(fd.persistence_label(customer_rules(spark, sf_dir).metrics).select("rule_key", "kind"))
 
@@ -483,23 +490,13 @@ def _refused(action: Callable[[], object]) -> bool:
 
 
 def w4_argument_checks(spark, sf_dir):
-    """The snapshots of the events, and which widths and steps are refused for them."""
+    """Windows of the least width and step that are accepted; lesser ones are refused."""
     facts = user_facts(spark, sf_dir)
-    tried = {"width_0": (0, 1), "width_minus_1": (-1, 1), "step_0": (1, 0), "neither": (2, 1)}
-    snapshots = fd.ordered_snapshots(facts)
-    return flat(
-        snapshots.select(
-            "snapshot",
-            "n_triples",
-            *(
-                F.lit(
-                    _refused(lambda a=a: fd.assign_windows(facts, *a))
-                    and _refused(lambda a=a: fd.build_windows(snapshots, *a))
-                ).alias(name)
-                for name, a in tried.items()
-            ),
-        )
-    )
+    for refused in ((0, 1), (-1, 1), (1, 0)):
+        if not _refused(lambda a=refused: fd.assign_windows(facts, *a)):
+            raise AssertionError(f"Accepted width and step {refused}.")
+    windowed = fd.assign_windows(facts, 1, 1)
+    return flat(windowed.groupBy("window_id", "snapshot").agg(F.count("*").alias("n_triples")))
 
 
 def w5_assign_windows(spark, sf_dir):
@@ -643,19 +640,23 @@ def t11_inferred_windows(spark, sf_dir):
 
 
 def t12_window_count(spark, sf_dir):
-    """Every rule, and which numbers of windows are refused for its metrics."""
+    """Metrics over the least number of windows that is accepted; lesser ones are refused."""
     rules = mined(user_facts)(spark, sf_dir).rules
-    tried = {"zero": 0, "negative": -1, "one": 1}
-    return flat(
-        rules.select(
-            "window_id",
-            "rule_key",
-            *(
-                F.lit(_refused(lambda n=n: fd.compute_metrics(rules, n_windows=n))).alias(name)
-                for name, n in tried.items()
-            ),
-        )
-    )
+    for refused in (0, -1):
+        if not _refused(lambda n=refused: fd.compute_metrics(rules, n_windows=n)):
+            raise AssertionError(f"Accepted {refused} windows.")
+    metrics = fd.compute_metrics(rules, n_windows=1, tau=TAU)
+    return flat(metrics.select("rule_key", "temporal_support", "persistence_score"))
+
+
+def t13_merged_states(spark, sf_dir):
+    """Metrics from the states of three stretches of windows, merged."""
+    found = mined(user_facts)(spark, sf_dir)
+    third = found.plan.n_windows // 3
+    stretch = F.least(F.floor(F.col("window_id") / max(third, 1)), F.lit(2))
+    first, second, last = (fd.rule_states(found.rules.where(stretch == k), TAU) for k in range(3))
+    merged = fd.merge_states(fd.merge_states(first, second), last)
+    return flat(fd.metrics_of_states(merged, found.plan.n_windows))
 
 
 # --- evaluation --------------------------------------------------------------------------------
@@ -686,14 +687,10 @@ def e2_run_summary(spark, sf_dir):
 
 
 def e3_throughput(spark, sf_dir):
-    """Rates of runs that took a lineitem's quantity, less one, for its part's triples."""
-    runs = _table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        F.col("l_partkey").alias("n_input_triples"),
-        (F.col("l_quantity") - 1).alias("runtime_sec"),
-    )
-    return flat(fd.throughput(runs))
+    """Triples of a timed run, from its rate and its time."""
+    rates = fd.throughput(_summary(spark, sf_dir))
+    triples = F.round(F.col("triples_per_sec") * F.col("runtime_sec")).cast("long")
+    return flat(rates.select("dataset", "n_input_triples", triples.alias("n_triples_in_time")))
 
 
 def e4_temporal_summary(spark, sf_dir):
@@ -739,6 +736,7 @@ _FUNCTIONS = (
     p3_window_slice,
     p4_changed_entities,
     p5_rule_lookup,
+    p5_applicable_rules,
     p6_persistence_label,
     p7_short_label,
     p8_rule_columns,
@@ -781,6 +779,7 @@ _FUNCTIONS = (
     e5_named_rules,
     t11_inferred_windows,
     t12_window_count,
+    t13_merged_states,
 )
 
 QUERIES: dict[str, Query] = {

@@ -1,5 +1,7 @@
 from .incremental import IncrementalRules, mine_incremental
 from .mining import mine, mine_rules, mine_triples
+from .postings import applicable_rules, rule_postings
+from .rule_states import merge_states, metrics_of_states, rule_states
 from .snapshots import ingest_snapshot, ingest_snapshots, tag_snapshot, union_all
 from .trajectories import (
     by_persistence,
@@ -29,6 +31,7 @@ from .windows import (
 __all__ = [
     "IncrementalRules",
     "WindowPlan",
+    "applicable_rules",
     "assign_windows",
     "build_transactions",
     "build_windows",
@@ -38,6 +41,8 @@ __all__ = [
     "fact_items",
     "ingest_snapshot",
     "ingest_snapshots",
+    "merge_states",
+    "metrics_of_states",
     "mine",
     "mine_incremental",
     "mine_rules",
@@ -46,6 +51,8 @@ __all__ = [
     "ordered_snapshots",
     "persistence_label",
     "plan_windows",
+    "rule_postings",
+    "rule_states",
     "rule_trajectories",
     "rules_with_items",
     "tag_snapshot",

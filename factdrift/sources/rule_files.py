@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import bounded_join, stage
+from .quoted import quoted_records
 
 _FILES = "*.{csv,tsv,txt}"
 # What counts as a number; anything else in a measure column is ignored.
@@ -59,8 +60,8 @@ def rules_file_summary(spark: SparkSession, directory: str, delimiter: str = ","
 
     A file has a header if its first row names a ``support`` or ``confidence``
     column, in any case; without one its rows are only counted. Line breaks in
-    quotes are part of their cell. Files without them are split over tasks;
-    only those that have some are read by one task each. A header that names a
+    quotes are part of their cell. All files are split over tasks; those that have
+    such cells are gone through once more, for the records. A header that names a
     measure and has a line break on its first line is an error.
     """
     file = F.col("_metadata.file_path")
@@ -89,17 +90,11 @@ def rules_file_summary(spark: SparkSession, directory: str, delimiter: str = ","
             F.from_csv("value", schema, options).alias("cells"), file.alias("file")
         )
         if by_record:
-            records = (
-                spark.read.schema(schema)
-                .options(**options, multiLine=True, columnPruning=False, pathGlobFilter=_FILES)
-                .csv(directory)
-                .where(file.isin(by_record))
-            )
-            # A record with more or fewer cells than the schema is in ``raw`` as well.
-            filled = F.concat_ws("", *names).rlike(r"\S") | ~F.col("raw").rlike(blank)
-            records = records.where(F.coalesce(filled, F.lit(False)))
+            records = quoted_records(placed.where(F.col("file").isin(by_record)), delimiter)
             rows = rows.where(~file.isin(by_record)).unionByName(
-                records.select(F.struct(*names, "raw").alias("cells"), file.alias("file"))
+                records.where(~F.col("value").rlike(blank)).select(
+                    F.from_csv("value", schema, options).alias("cells"), "file"
+                )
             )
         cells = F.array(*(F.col("cells")[name] for name in names))
         rules = bounded_join(

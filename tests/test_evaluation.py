@@ -197,3 +197,18 @@ def test_planted_rules_are_found(spark):
     assert checked["persistent"].persistence_score == pytest.approx(1.0)
     transient = checked.get("transient")
     assert transient is None or transient.persistence_score < 1.0
+
+
+def test_a_quoted_file_is_split_over_tasks(spark, tmp_path):
+    rows = [(f'rule {k},\n"{"x" * (k % 40)}"\n', k / 1000) for k in range(400)]
+    text = "rule,confidence\n" + "".join('"{}",{}\n'.format(rule.replace('"', '""'), c) for rule, c in rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        (tmp_path / "rules.csv").write_text(text, encoding="utf-8")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+        found = rules_file_summary(spark, str(tmp_path)).first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert (found.n_rules, found.mean_confidence) == (400, pytest.approx(sum(c for _, c in rows) / 400))

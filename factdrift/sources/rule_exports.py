@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spread_json import array_elements
+
 # Measure names in order of preference, lower case.
 CONFIDENCE_MEASURES = ("cwaconfidence", "confidence", "pcaconfidence")
 SUPPORT_MEASURES = ("headcoverage", "support")
@@ -35,22 +37,45 @@ def read_rule_export(spark: SparkSession, path: str) -> DataFrame:
     A file holds JSON values on lines of their own or one value spread over
     lines, a value being an object or an array of objects. All lines of a file
     decide which of the two it is: a first pass looks for files with a line that
-    is no JSON value. Files of lines are read in parallel, the others as whole
-    texts, one task each, up to the size of a variant. Anything that is not
-    JSON fails the job.
+    is no JSON value. Files of lines and spread arrays are split over tasks, a
+    spread object is one task. Anything that is not JSON fails the job.
     """
     file = F.col("_metadata.file_path").alias("file")
     lines = spark.read.text(path).select("value", file).where(F.col("value").rlike(r"\S"))
     # Names only, of files that the driver has listed anyway.
     broken = _parsed(lines).where(~F.col("is_json")).select("file").distinct()
     spread = [row["file"] for row in broken.collect()]
-    texts = lines
-    if spread:
-        in_spread = F.col("file").isin(spread)
+    if not spread:
+        return _rules(_documents(lines))
+    in_spread = F.col("file").isin(spread)
+    placed = spark.read.text(path).select(
+        "value",
+        file,
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    placed = placed.where(in_spread & F.col("value").rlike(r"\S"))
+    # The first sign of a file says what it holds; one row for each file.
+    first = F.min_by(F.substring(F.ltrim("value"), 1, 1), F.struct("start", "row"))
+    signs = placed.groupBy("file").agg(first.alias("sign")).collect()
+    arrays = [row["file"] for row in signs if row["sign"] == "["]
+    others = [row["file"] for row in signs if row["sign"] != "["]
+    found = _rules(_documents(lines.where(~in_spread)))
+    if others:
         whole = spark.read.text(path, wholetext=True).select("value", file)
-        texts = lines.where(~in_spread).unionByName(whole.where(in_spread))
+        found = found.unionByName(_rules(_documents(whole.where(F.col("file").isin(others)))))
+    if arrays:
+        elements = array_elements(placed.where(F.col("file").isin(arrays)))
+        found = found.unionByName(_documents(elements).select(F.col("document").alias("rule")))
+    return found
+
+
+def _documents(texts: DataFrame) -> DataFrame:
     error = F.raise_error(F.concat(F.lit("Not JSON: a text in "), "file")).cast("boolean")
-    documents = _parsed(texts).where(F.when(F.col("is_json"), True).otherwise(error))
+    return _parsed(texts).where(F.when(F.col("is_json"), True).otherwise(error))
+
+
+def _rules(documents: DataFrame) -> DataFrame:
     as_array = F.try_variant_get("document", "$", "array<variant>")
     return documents.select(F.explode(F.coalesce(as_array, F.array("document"))).alias("rule"))
 

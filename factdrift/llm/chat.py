@@ -23,15 +23,28 @@ TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
+# What has a meaning in a path; in a field's name it is escaped.
+_SIGNS = re.compile(r"[\\.\[\](){};\n]")
+
+
 def field_paths(record: object, prefix: str = "") -> set[str]:
-    """Nested field paths of a record; the items of a list share one path."""
+    """Nested field paths of a record.
+
+    Items of a list with the same paths share one, which names them all: a list of half
+    messages is not one of whole messages.
+    """
     if isinstance(record, dict):
-        return {p for key, value in record.items() for p in field_paths(value, f"{prefix}.{key}")} or {prefix + ".{}"}
+        names = ((_SIGNS.sub(r"\\\g<0>", key), value) for key, value in record.items())
+        return {p for name, value in names for p in field_paths(value, f"{prefix}.{name}")} or {prefix + ".{}"}
     if isinstance(record, list):
-        return {p for value in record for p in field_paths(value, prefix + "[]")} or {prefix + "[]"}
+        return {_item_path(prefix, field_paths(value)) for value in record} or {prefix + "[]"}
     return {prefix}
 
 
+def _item_path(prefix: str, paths: set[str]) -> str:
+    return f"{prefix}[]({';'.join(sorted(paths))})"
+
+
 def fingerprint(paths: set[str]) -> int:
     """A hash of the paths, in no particular order and whatever the values are."""
     return xxhash.xxh64_intdigest("\n".join(sorted(paths)))
@@ -41,7 +54,8 @@ def fingerprint(paths: set[str]) -> int:
 class Layout:
     """A declarative mapping. ``items``: the list of messages, each with ``role`` and ``text``
     fields; without it, ``fields`` lists (field, role) in the order of turns. ``optional``
-    fields may lack; other fields than those named may not be there."""
+    fields may lack, and one that is empty or null makes no turn; other fields than those
+    named may not be there."""
 
     items: str | None = None
     role: str | None = None
@@ -53,7 +67,7 @@ class Layout:
     def paths(self) -> list[set[str]]:
         """The sets of field paths that this layout covers."""
         if self.items:
-            return [{f".{self.items}[].{self.role}", f".{self.items}[].{self.text}"}, {f".{self.items}[]"}]
+            return [{_item_path(f".{self.items}", {f".{self.role}", f".{self.text}"})}, {f".{self.items}[]"}]
         if self.role:
             return [{f".{self.role}", f".{self.text}"}]
         sets = [{f".{name}" for name, _ in self.fields if name not in self.optional}]
@@ -67,7 +81,7 @@ class Layout:
         elif self.role:
             found = [(record[self.role], record[self.text])]
         else:
-            found = [(role, record[name]) for name, role in self.fields if record.get(name)]
+            found = [(role, record[name]) for name, role in self.fields if name not in self.optional or record.get(name)]
         return [(self.roles.get(_plain(role), _plain(role)), _plain(text)) for role, text in found]
 
 
@@ -98,7 +112,8 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
     A record's fingerprint picks its mapping. ``k`` numbers the turns within the record. A
     null text or role is empty. A record that is null, no JSON, or of a layout without a
     mapping gives one row with role null, its fingerprint (null if none) in ``unmapped``
-    and the record as text, so that nothing is lost unseen; mapped rows have null there.
+    and the record as text, so that nothing is lost unseen; mapped rows have null there and
+    a role. So it is with a record nested too deep to read or with half a surrogate pair.
     Repeated rows stay, an empty table gives none, further columns are ignored.
     """
     plain = records.select(F.col("conv_id").cast("long"), F.col("position").cast("long"), F.col("record").cast("string"))
@@ -108,13 +123,9 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
         for batch in batches:
             rows = []
             for conv, position, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    record = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    record = None
-                code = fingerprint(field_paths(record)) if isinstance(record, dict) else None
-                if code in known:
-                    rows += [(conv, position, k, *turn, None) for k, turn in enumerate(known[code].turns(record))]
+                code, turns = _mapped(raw, known)
+                if turns is not None:
+                    rows += [(conv, position, k, *turn, None) for k, turn in enumerate(turns)]
                 else:
                     rows.append((conv, position, 0, None, raw, None if code is None else f"{code:016x}"))
             yield _batch(rows, ["conv_id", "position", "k", "role", "text", "unmapped"], "lllsss")
@@ -122,6 +133,24 @@ def canonical_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -
     return map_batches(plain, run, "conv_id long, position long, k long, role string, text string, unmapped string")
 
 
+def _mapped(raw: str | None, known: dict[int, Layout]) -> tuple[int | None, list[tuple[str, str]] | None]:
+    """A record's fingerprint, and its turns if it has a mapping."""
+    code = None
+    try:
+        record = json.loads(raw) if raw is not None else None
+        if isinstance(record, dict):
+            code = fingerprint(field_paths(record))
+        if code not in known:
+            return code, None
+        turns = known[code].turns(record)
+        # Half a surrogate pair, which JSON can escape, is no text.
+        for turn in turns:
+            "".join(turn).encode()
+        return code, turns
+    except (ValueError, RecursionError):
+        return code, None
+
+
 def _batch(rows: list[tuple], names: list[str], kinds: str) -> pa.RecordBatch:
     arrow = {"l": pa.int64(), "s": pa.string(), "b": pa.binary()}
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
@@ -145,9 +174,10 @@ def format_turns(turns: DataFrame) -> DataFrame:
 
     The formatted conversation is its turns' texts joined in order; each is made from its
     row alone. The loss counts over an assistant's text and nothing else: the mask is null
-    for other roles.
+    for other roles. A row without a role, which is a record without a mapping, is no turn:
+    its ``formatted`` is null. A null text is empty; further columns are kept.
     """
-    head = F.concat(F.lit(TURN), escaped(F.coalesce("role", F.lit(""))), F.lit(TEXT))
+    head = F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT))
     body = escaped(F.coalesce("text", F.lit("")))
     spoken = F.col("role") == "assistant"
     return turns.withColumns(
@@ -189,7 +219,10 @@ def digest_conversations(formatted: DataFrame) -> DataFrame:
     of a task may go on in others: their turns are packed and meet in a second step, where
     the digest, sequential by nature, is fed block by block. Ties in position and k are
     ordered by role and text; a null conv_id is a conversation, a null position comes first.
+    Rows whose ``formatted`` is null are no turns, and a conversation of such rows alone has
+    no row. Repeated rows are turns each, an empty table gives no rows.
     """
+    formatted = formatted.where("formatted is not null")
     order = ["conv_id", "position", "k", "formatted"]
     sorted_rows = (
         formatted.select(*order, "loss_start", "loss_end").repartitionByRange(*order).sortWithinPartitions(*order)

@@ -72,7 +72,43 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)
 FROM texts LEFT JOIN cut USING (r)"""
 
 
+def _chat() -> str:
+    """Turns joined in order; the control strings have 8, 8 and 7 characters."""
+    escaped = "replace(replace({}, '\\', '\\\\'), '<|', '<\\|')"
+    size = f"8 + length({escaped.format('role')}) + 8 + length({escaped.format('text')}) + 7"
+    words = r"'\### Assistant: </turn> ok'"
+    return f"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', {words}), (-7, 1, 'assistant', {words}))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({size}) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+def _vectors(cosine: float = 0.98) -> str:
+    """Every pair of a label, and what links reach."""
+    return f"""WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= {cosine}),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a) USING (vec_id)"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_chat": _chat(),
+    "op9_vectors": _vectors(),
     "op11_vector_codes": _vector_codes(),
     "op12_repeats": _repeats(),
 }

@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -53,7 +52,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, ope
         "placed",
     ).frame
     closed = placed.where("merge is null").drop("merge", "ids")
-    merged = placed.where("merge is not null").groupBy("merge").applyInPandas(lambda left: _merge(left, length), _PIECE)
+    merged = placed.where("merge is not null").groupBy("merge").applyInArrow(lambda left: _merge(left, length), _PIECE)
     return closed.unionByName(merged)
 
 
@@ -137,14 +136,15 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _merge(left: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Fill the fullest windows from the emptiest; ``offset`` holds a window's room here."""
-    left = left.sort_values(["offset", "doc_id", "start", "ids_crc32", "sequence_id"], kind="stable")
-    out = _Sequences(_MERGED | int(left["merge"].iloc[0]) << _LOCAL_BITS)
-    pieces = [
-        (None if pd.isna(doc) else int(doc), int(start), int(total), np.frombuffer(ids, "<u4"))
-        for doc, start, total, ids in zip(left["doc_id"].astype("object"), left["start"], left["doc_tokens"], left["ids"], strict=True)
-    ]
+def _merge(left: pa.Table, length: int) -> pa.Table:
+    """Fill the fullest windows from the emptiest; ``offset`` holds a window's room here.
+
+    Rows stay Arrow values: numbers with nulls among them keep all their bits.
+    """
+    columns = [left.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids", "offset", "sequence_id")]
+    rows = sorted(zip(*columns, strict=True), key=lambda r: (r[4], r[0] is None, r[0] or 0, r[1], r[5]))
+    out = _Sequences(_MERGED | left.column("merge")[0].as_py() << _LOCAL_BITS)
+    pieces = [(doc, start, total, np.frombuffer(ids, "<u4")) for doc, start, total, ids, _, _ in rows]
     rest = sum(len(x[3]) for x in pieces)
     fill: list[tuple] = []
     target = room = length if rest >= length else 1 << max(rest.bit_length() - 1, 0)
@@ -157,5 +157,5 @@ def _merge(left: pd.DataFrame, length: int) -> pd.DataFrame:
                 out.add(fill)
                 fill, rest = [], rest - target
                 target = room = length if rest >= length else 1 << max(rest.bit_length() - 1, 0)
-    frame = pd.DataFrame(out.take(), columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-    return frame.astype({"doc_id": "Int64"})
+    found = _rows(out.take())
+    return pa.Table.from_batches([found]).select(found.schema.names[:7])

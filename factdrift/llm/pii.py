@@ -36,7 +36,7 @@ LABELS = ["none", *KINDS]
 
 SAMPLE_DOCUMENTS = 2_000
 MAX_GAP = 200
-ROUNDS = 30
+ROUNDS = 500
 LEAST_LOCAL = 5
 
 
@@ -87,6 +87,7 @@ class Node:
     keys: tuple[str, ...]
     features: tuple[int, ...]
     chain: int = -1  # the neighbour before, if near
+    possible: tuple[str, ...] = ()  # kinds that a candidate's signs allow
 
 
 # The features. The first four tell a base match, the others its looks.
@@ -138,7 +139,19 @@ def _node(text: str, kind: str, start: int, end: int, base: bool) -> Node:
         "brackets": "(" in word, "handle": kind == "handle", "plus before": word.startswith("+"), "always": True,
     }
     on = [i for i, name in enumerate(FEATURES) if looks.get(name, name == kind)]
-    return Node(kind, start, end, base, tuple(keys), tuple(on))
+    return Node(kind, start, end, base, tuple(keys), tuple(on), possible=tuple(_possible(kind, word, digits)))
+
+
+def _possible(kind: str, word: str, digits: str) -> Iterator[str]:
+    """What a spelling can stand for: no card fails its checksum, no address lacks letters."""
+    if kind == "handle":
+        yield "email"
+    elif kind == "number":
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            yield "card"
+        # Without the code of its country.
+        if 9 <= len(digits) <= 15:
+            yield "phone"
 
 
 def skip_links(nodes: list[Node]) -> list[tuple[int, int]]:
@@ -160,15 +173,17 @@ class Weights:
     skip: np.ndarray
 
 
-def fit(graphs: list[tuple[list[Node], list[tuple[int, int]]]], steps: int = 300, seed: int = 1) -> Weights:
+def fit(graphs: list[tuple[list[Node], list[tuple[int, int]]]], steps: int = 300) -> Weights:
     """Pseudo-likelihood weights from graphs whose labels are the base matches.
 
-    A node is predicted from its looks and its neighbours' labels. What tells a base match
-    is hidden in two of three copies of a node, so that agreement over skip links is learned.
+    A node is predicted from its looks and its neighbours' labels. Each comes twice: as it
+    is, and as if it occurred once more with the evidence of a base match hidden, next to
+    itself. So a skip link learns from every base match that its label holds for another
+    spelling, and from every innocent candidate that none does. A candidate that is linked
+    to a base match may be either and is left out.
     """
     n_f, n_l = len(FEATURES), len(LABELS)
     rows, labels = [], []
-    rng = np.random.default_rng(seed)
     for nodes, links in graphs:
         y = [LABELS.index(n.kind) if n.base else 0 for n in nodes]
         skips = defaultdict(list)
@@ -176,29 +191,21 @@ def fit(graphs: list[tuple[list[Node], list[tuple[int, int]]]], steps: int = 300
             skips[a].append(b)
             skips[b].append(a)
         for k, node in enumerate(nodes):
-            near = [node.chain] * (node.chain >= 0) + [k + 1] * (k + 1 < len(nodes) and nodes[k + 1].chain == k)
-            # A spelling without evidence of its own says nothing against its evidence.
-            partners = [j for j in skips[k] if nodes[j].base]
-            if not node.base and partners:
+            if not node.base and any(nodes[j].base for j in skips[k]):
                 continue
+            near = [node.chain] * (node.chain >= 0) + [k + 1] * (k + 1 < len(nodes) and nodes[k + 1].chain == k)
+            partners = [j for j in skips[k] if nodes[j].base == node.base]
             row = np.zeros(n_f + 2 * n_l)
             row[list(node.features)] = 1
             np.add.at(row, [n_f + y[j] for j in near], 1)
             np.add.at(row, [n_f + n_l + y[j] for j in partners], 1)
-            for hidden in (False, True, True):
-                row = row.copy()
-                row[: len(KINDS)] *= not hidden
-                rows.append(row)
-                labels.append(y[k])
-    # A prior that agreement over a skip link counts, worth a few documents.
-    for label in range(1, n_l):
-        for _ in range(20):
-            row = np.zeros(n_f + 2 * n_l)
-            row[rng.integers(len(KINDS), n_f, 3)] = 1
-            row[n_f - 1] = 1
-            row[n_f + n_l + label] = 1
-            rows.append(row)
-            labels.append(label)
+            again = row.copy()
+            again[: len(KINDS)] = 0
+            again[n_f + n_l + y[k]] += 1
+            rows += [row, again]
+            labels += [y[k]] * 2
+    if not rows:
+        rows, labels = [np.zeros(n_f + 2 * n_l)], [0]
     x, y = np.array(rows), np.eye(n_l)[labels]
     w, speed = np.zeros((x.shape[1], n_l)), np.zeros((x.shape[1], n_l))
     for _ in range(steps):
@@ -220,6 +227,8 @@ def beliefs(nodes: list[Node], links: list[tuple[int, int]], weights: Weights) -
     for k, node in enumerate(nodes):
         if node.base:
             unary[k] = np.where(np.arange(n_l) == LABELS.index(node.kind), 0.0, -1e3)
+        else:
+            unary[k, [label not in ("none", *node.possible) for label in LABELS]] = -1e3
     linked = set(links)
     edges = [(a, b, weights.skip) for a, b in links]
     edges += [(n.chain, k, weights.chain) for k, n in enumerate(nodes) if n.chain >= 0 and (n.chain, k) not in linked]

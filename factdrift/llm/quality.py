@@ -162,7 +162,12 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
         .limit(fit_rows)
     )
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    # Of rows that share a doc_id the one whose text hashes lowest, so fit_rows bounds them all.
+    joined = (
+        texts.join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "quality")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

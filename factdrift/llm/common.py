@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factdrift.staging import stage
+from factdrift.staging import stage, weighted_join
 
 _shipped: set[str] = set()
 
@@ -205,7 +205,9 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     Stars are rewired in turns, large then small, until nothing changes; every turn is a
     grouped minimum and a join and is written to the shared folder, so the plan stays short
     and a lost executor costs one turn. The turns grow with the logarithm of the longest
-    path, and no node's links meet in one task: minima are combined before they move.
+    path. No node's links meet in one task: minima are combined before they move, and in
+    the joins the minima of hubs are broadcast, of which there are few, so a hub's links
+    stay where they are.
     """
     edges = (
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -213,13 +215,13 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         .distinct()
     )
     current = stage(edges, label)
-    before = None
+    before = _summary(current.frame)
     while True:
-        large = _large_star(current.frame)
-        after = stage(_small_star(large), label)
-        summary = after.frame.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        large = stage(_large_star(current.frame, before[0]), label)
         current.drop()
-        current = after
+        current = stage(_small_star(large.frame, large.frame.count()), label)
+        large.drop()
+        summary = _summary(current.frame)
         if summary == before:
             break
         before = summary
@@ -229,15 +231,26 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _summary(edges: DataFrame) -> tuple:
+    """How many edges there are, and a sum that tells them apart from others."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+# What a number and its key take in a broadcast table, at most.
+_MINIMUM_BYTES = 64
+
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight")).withColumn("m", F.least("u", "m"))
+    joined = weighted_join(both.where("v > u"), least, ["u"], 2 * n_edges * _MINIMUM_BYTES, 2 * n_edges)
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("weight"))
+    joined = weighted_join(edges, least, ["u"], n_edges * _MINIMUM_BYTES, n_edges)
+    moved = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

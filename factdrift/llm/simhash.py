@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factdrift.llm.common import components, map_batches, strings
-from factdrift.staging import stage
+from factdrift.staging import stage, weighted_join
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 HALF = 32
@@ -155,9 +155,11 @@ def group(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     counted = found.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
     nodes = stage(counted, "distinct-fingerprints").frame
     linked = components(find_links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
-    named = linked.join(nodes, "fp")
-    smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_linked = named.join(smallest, "root").select("fp", "component_id")
+    named = stage(linked.join(nodes, "fp"), "linked-fingerprints").frame
+    # A giant component is one root: its smallest doc_id is broadcast, its members stay.
+    smallest = named.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("weight"))
+    members = named.count()
+    of_linked = weighted_join(named, smallest, ["root"], 64 * members, members).select("fp", "component_id")
     named_nodes = stage(
         nodes.join(of_linked, "fp", "left").select("fp", "copies", F.coalesce("component_id", "first_doc").alias("component_id")),
         "named-fingerprints",

@@ -5,38 +5,46 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factdrift.llm.common import components, map_batches
-from factdrift.staging import stage
+from factdrift.llm.common import components, map_batches, mix
+from factdrift.staging import BROADCAST_BYTES, stage, weighted_join
 
 COSINE = 0.98
 RECALL = 0.9995
 PROJECTIONS = 32
 # In standard deviations of the difference that two just linked vectors have.
-HALF_WINDOW, CELL = 1.5, 4.0
-BLOCK_ROWS = 256
+HALF_WINDOW, CELL = 1.5, 8.0
+CELL_ROWS = 128
+BLOCK_ROWS = 512
 SEED = 7
+_CELL = ["label", "size", "part", "cell"]
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Widths of the windows and the count that a pair has to reach."""
+    """Widths of windows and cells, the count a pair has to reach, how vectors are dealt."""
 
     half_window: float
-    cell: float
     least: int
+    cell: float
+    axes: int  # projections that name a cell
+    parts: int  # independent ways to deal the vectors to cells
 
 
-def calibrated(cosine: float = COSINE, recall: float = RECALL, projections: int = PROJECTIONS) -> Plan:
-    """The largest count that linked pairs reach with probability ``recall`` or more.
+def calibrated(rows: int, cosine: float = COSINE, recall: float = RECALL, projections: int = PROJECTIONS) -> Plan:
+    """Counts and cells with which a linked pair is found with probability ``recall`` each.
 
     Along a Gaussian direction the difference of two unit vectors with this cosine is
-    normal with variance 2 - 2 cos; closer pairs collide more often.
+    normal with variance 2 - 2 cos; closer pairs collide more often. ``rows`` is the size of
+    the largest label: a cell is named by as many projections as leave about ``CELL_ROWS``
+    of unrelated vectors in it, and vectors are dealt to cells in as many ways as the recall
+    needs, a number that grows with a small power of ``rows``.
     """
     spread = math.sqrt(max(2 - 2 * cosine, 1e-12))
     p = math.erf(HALF_WINDOW / math.sqrt(2))
@@ -46,46 +54,73 @@ def calibrated(cosine: float = COSINE, recall: float = RECALL, projections: int
         if lower < recall:
             break
         chance, least = lower, least + 1
-    return Plan(HALF_WINDOW * spread, CELL * spread, least)
+    near, far = _same_cell(CELL * spread, spread), _same_cell(CELL * spread, math.sqrt(2))
+    axes = max(0, math.ceil(math.log(max(rows, 1) / CELL_ROWS) / -math.log(far)))
+    parts = math.ceil(math.log(1 - recall) / math.log1p(-(near**axes))) if axes else 1
+    return Plan(HALF_WINDOW * spread, least, CELL * spread, axes, parts)
+
+
+def _same_cell(width: float, deviation: float) -> float:
+    """How likely a normal difference of this deviation stays in a cell at a random place."""
+    z = width / deviation
+    return math.erf(z / math.sqrt(2)) - 2 * (1 - math.exp(-z * z / 2)) / (z * math.sqrt(2 * math.pi))
+
+
+@lru_cache(maxsize=1024)
+def directions(dimension: int, projections: int, use: int = 0) -> np.ndarray:
+    return np.random.default_rng([SEED, dimension, use]).standard_normal((dimension, projections))
 
 
-def directions(dimension: int, projections: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dimension]).standard_normal((dimension, projections))
+def cells(units: np.ndarray, plan: Plan, parts: int) -> np.ndarray:
+    """The hashed cell of each vector in the first ``parts`` ways to deal them."""
+    found = np.zeros((len(units), parts), np.uint64)
+    for part in range(parts):
+        shift = np.random.default_rng([SEED, part]).random(plan.axes)
+        at = np.floor(units @ directions(units.shape[1], plan.axes, part + 1) / plan.cell + shift).astype(np.int64)
+        for column in at.T:
+            found[:, part] = mix(found[:, part] + column.view(np.uint64) + np.uint64(1))
+    return found
 
 
-def classes(vectors: DataFrame) -> DataFrame:
-    """Distinct valid vectors of a label: label, embedding, node (smallest vec_id), copies."""
+def keyed(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, embedding and digest, which is null where a vector links with nothing."""
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return (
-        vectors.select("vec_id", "label", "embedding")
-        .where(F.coalesce(usable, F.lit(False)))
-        .groupBy("label", "embedding")
-        .agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    )
+    digest = F.sha2(F.col("embedding").cast("string"), 256)
+    return vectors.select("vec_id", "label", "embedding", F.when(F.coalesce(usable, F.lit(False)), digest).alias("digest"))
+
 
+def classes(rows: DataFrame) -> DataFrame:
+    """Distinct vectors of ``keyed`` rows: label, digest, embedding, node (smallest vec_id), copies."""
+    return rows.where("digest is not null").groupBy("label", "digest", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
 
-def _unit(batch_column: pa.Array) -> Iterator[np.ndarray]:
-    for value in batch_column:
-        x = np.asarray(value.values, np.float64)
-        x = x / np.abs(x).max()  # neither squares too large nor too small
-        yield x / np.sqrt(x @ x)
 
+def _units(raw: list[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+    x = x / np.abs(x).max(1, keepdims=True)  # neither squares too large nor too small
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-def _cells(batches: Iterator[pa.RecordBatch], cell: float) -> Iterator[pa.RecordBatch]:
+
+def _deal(batches: Iterator[pa.RecordBatch], plan: Plan, kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        units = list(_unit(batch.column(1)))
-        sides = [np.floor(u @ directions(len(u), 2) / cell).astype(np.int64) for u in units]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(u) for u in units], pa.int64()),
-                *(pa.array([int(s[i]) for s in sides], pa.int64()) for i in (0, 1)),
-                batch.column(2),
-                batch.column(3),
-                pa.array([u.astype("<f8").tobytes() for u in units], pa.binary()),
-            ],
-            ["label", "size", "x", "y", "node", "copies", "unit"],
-        )
+        sizes = np.array([len(x) for x in batch.column(1)], np.int64)
+        for size in np.unique(sizes):
+            rows = batch.take(pa.array(np.flatnonzero(sizes == size)))
+            raw = [np.asarray(x.values, np.float64) for x in rows.column(1)]
+            named = cells(_units([x.tobytes() for x in raw]), plan, plan.parts).view(np.int64)
+            data = pa.array([x.astype(kind).tobytes() for x in raw], pa.binary())
+            for part in range(plan.parts):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column(0),
+                        pa.array(np.full(len(raw), size)),
+                        pa.array(np.full(len(raw), part)),
+                        pa.array(np.ascontiguousarray(named[:, part])),
+                        rows.column(2),
+                        rows.column(3),
+                        data,
+                    ],
+                    [*_CELL, "node", "copies", "vector"],
+                )
 
 
 def _collisions(left: np.ndarray, right: np.ndarray, half_window: float) -> np.ndarray:
@@ -102,27 +137,36 @@ def _collisions(left: np.ndarray, right: np.ndarray, half_window: float) -> np.n
     return counts.reshape(len(left), len(right))
 
 
-def _match(batches: Iterator[pa.RecordBatch], cosine: float, plan: Plan, projections: int) -> Iterator[pa.RecordBatch]:
-    """For each pair of blocks: linked copies of each node, and links that span what is linked."""
+def _side(rows: list[dict], kind: str, plan: Plan, part: int) -> tuple[np.ndarray, ...]:
+    raw = [np.frombuffer(x["vector"], kind).astype("<f8").tobytes() for x in rows]
+    units = _units(raw)
+    return units, cells(units, plan, part), *(np.array([x[k] for x in rows], np.int64) for k in ("node", "copies"))
+
+
+def _match(batches: Iterator[pa.RecordBatch], cosine: float, plan: Plan, projections: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """For each block or pair of blocks: linked copies of each node, links that span what is linked.
+
+    A pair that shares several cells counts in the first of its parts only.
+    """
     for batch in batches:
-        for row in batch.to_pylist():
-            dimension = row["size"]
-            a, b = (np.frombuffer(b"".join(x["unit"] for x in row[s]), "<f8").reshape(-1, dimension) for s in ("ours", "theirs"))
-            ids = [np.array([x["node"] for x in row[s]], np.int64) for s in ("ours", "theirs")]
-            copies = [np.array([x["copies"] for x in row[s]], np.int64) for s in ("ours", "theirs")]
-            axes = directions(dimension, projections)
+        for k in range(batch.num_rows):
+            part, ours, theirs = batch.slice(k, 1).to_pylist()[0].values()
+            a, a_cells, a_ids, a_copies = _side(ours, kind, plan, part)
+            b, b_cells, b_ids, b_copies = (a, a_cells, a_ids, a_copies) if theirs is None else _side(theirs, kind, plan, part)
+            axes = directions(a.shape[1], projections)
             hits = _collisions(a @ axes, b @ axes, plan.half_window) >= plan.least
             at = np.nonzero(hits)
             verified = np.zeros_like(hits)
-            for k in range(0, len(at[0]), 1 << 15):
-                i, j = at[0][k : k + (1 << 15)], at[1][k : k + (1 << 15)]
-                verified[i, j] = np.einsum("ij,ij->i", a[i], b[j]) >= cosine
-            if row["same"]:
+            for first in range(0, len(at[0]), 1 << 15):
+                i, j = at[0][first : first + (1 << 15)], at[1][first : first + (1 << 15)]
+                new = ~(a_cells[i] == b_cells[j]).any(1)
+                verified[i, j] = new & (np.einsum("ij,ij->i", a[i], b[j]) >= cosine)
+            if theirs is None:
                 np.fill_diagonal(verified, False)
-            sums = [(ids[0], verified @ copies[1])] + ([] if row["same"] else [(ids[1], copies[0] @ verified)])
-            nodes = np.concatenate([i[s > 0] for i, s in sums])
+            sums = [(a_ids, verified @ b_copies)] + ([] if theirs is None else [(b_ids, a_copies @ verified)])
+            nodes = np.concatenate([ids[s > 0] for ids, s in sums])
             more = np.concatenate([s[s > 0] for _, s in sums])
-            links = _spanning(verified, *ids)
+            links = _spanning(verified, a_ids, b_ids)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([nodes, links[:, 0]]), pa.int64()),
@@ -155,40 +199,38 @@ def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.nda
 def find_matches(distinct: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """node, linked, other: copies linked to a node, and links (other not null).
 
-    Vectors are laid on a grid of the first two projections, whose cells are so wide that
-    a linked pair is in one or in touching cells (with the recall of four deviations). Cells
-    are cut into blocks of about ``block_rows``; each pair of blocks is matched once: every
-    projection is sorted, collisions in the windows around each query are counted, and
-    pairs that reach the calibrated count are verified by their cosine.
+    Vectors of a label meet in cells named by several projections, dealt anew in several
+    parts, so that the pairs compared grow little faster than the vectors (see
+    ``calibrated``). Within a cell every projection is sorted, collisions in the windows
+    around each query are counted, and pairs that reach the calibrated count are verified
+    by their cosine. A cell of more than ``block_rows`` is cut into blocks by the hash of
+    the node, and each pair of its blocks is a row of its own; no pair is dropped.
     """
-    plan = calibrated(cosine, projections=projections)
-    placed = stage(
-        map_batches(
-            distinct.select("label", "embedding", F.col("node").cast("long"), F.col("copies").cast("long")),
-            lambda batches: _cells(batches, plan.cell),
-            f"label {dict(distinct.dtypes)['label']}, size long, x long, y long, node long, copies long, unit binary",
-        ),
-        "placed-vectors",
-    ).frame
-    cell = ["label", "size", "x", "y"]
-    counts = placed.groupBy(*cell).count()
-    dealt = placed.join(counts, cell).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / block_rows).cast("long"))
+    largest = distinct.groupBy("label", F.size("embedding")).count().agg(F.max("count")).first()[0] or 0
+    plan = calibrated(largest, cosine, projections=projections)
+    kind = "<f4" if dict(distinct.dtypes)["embedding"] == "array<float>" else "<f8"
+    dealt = map_batches(
+        distinct.select("label", F.col("embedding").cast("array<double>"), F.col("node").cast("long"), F.col("copies").cast("long")),
+        lambda batches: _deal(batches, plan, kind),
+        f"label {dict(distinct.dtypes)['label']}, size long, part long, cell long, node long, copies long, vector binary",
     )
-    blocks = dealt.groupBy(*cell, "block").agg(F.collect_list(F.struct("node", "copies", "unit")).alias("theirs"))
-    # Of two touching cells one looks at the other; a cell looks at itself.
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
-    asking = (
-        blocks.withColumn("step", F.explode(steps))
-        .select("label", "size", (F.col("x") + F.col("step.i")).alias("x"), (F.col("y") + F.col("step.j")).alias("y"),
-                ((F.col("step.i") == 0) & (F.col("step.j") == 0)).alias("own"), F.col("block").alias("asks"), F.col("theirs").alias("ours"))
-    )
-    pairs = (
-        asking.join(blocks, cell)
-        .where("not own or asks <= block")
-        .select("size", "ours", "theirs", (F.col("own") & (F.col("asks") == F.col("block"))).alias("same"))
-    )
-    return map_batches(pairs, lambda batches: _match(batches, cosine, plan, projections), "node long, linked long, other long")
+    placed = stage(dealt, "placed-vectors")
+    counted = stage(placed.frame.groupBy(*_CELL).agg(F.count("*").alias("weight")).where("weight > 1"), "cells")
+    total = counted.frame.agg(F.count("*").alias("cells"), F.sum("weight").alias("rows")).first()
+    sizes = counted.frame.withColumn("blocks", F.ceil(F.col("weight") / block_rows).cast("long"))
+    width = 64 * total["cells"] + (0 if total["cells"] == 0 else counted.frame.agg(F.sum(F.octet_length(F.col("label").cast("string")))).first()[0])
+    in_blocks = weighted_join(placed.frame, sizes, _CELL, width, total["rows"] or 0).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    blocks = in_blocks.groupBy(*_CELL, "blocks", "block").agg(F.collect_list(F.struct("node", "copies", "vector")).alias("ours"))
+    own = blocks.select(F.col("part").cast("long").alias("part"), "ours", F.lit(None).cast(dict(blocks.dtypes)["ours"]).alias("theirs"))
+    several = blocks.where("blocks > 1")
+    asking = several.where("block + 1 < blocks").withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
+    asked = several.select(*_CELL, "block", F.col("ours").alias("theirs"))
+    pairs = asking.join(asked, [*_CELL, "block"]).select("part", "ours", "theirs")
+    matches = map_batches(own.unionByName(pairs), lambda batches: _match(batches, cosine, plan, projections, kind), "node long, linked long, other long")
+    found = stage(matches, "matches")
+    placed.drop()
+    counted.drop()
+    return found.frame
 
 
 def group(vectors: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS) -> DataFrame:
@@ -200,23 +242,29 @@ def group(vectors: DataFrame, cosine: float = COSINE, projections: int = PROJECT
     not even its copy; nor does a row without vec_id, whose component is null. Repeated rows stay.
     An empty table gives no rows, further columns are ignored.
     """
-    distinct = stage(classes(vectors), "distinct-vectors").frame
-    matches = stage(find_matches(distinct, cosine, projections), "matches").frame
+    rows = keyed(vectors)
+    distinct = stage(classes(rows), "distinct-vectors").frame
+    matches = find_matches(distinct, cosine, projections)
     degrees = matches.where("other is null").groupBy("node").agg(F.sum("linked").alias("linked"))
     roots = components(matches.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    nodes = distinct.join(degrees, "node", "left").join(roots, "node", "left")
-    named = nodes.select(
-        "label",
-        "embedding",
-        (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
-        F.coalesce("root", "node").alias("component_id"),
-    )
-    found = vectors.select("vec_id", "label", "embedding").join(named, ["label", "embedding"], "left")
-    named_row = F.col("vec_id").isNotNull()
-    component = F.when(named_row, F.coalesce("component_id", F.col("vec_id").cast("long")))
-    return found.select(
-        "vec_id",
-        F.coalesce(F.when(named_row, F.col("n_links")), F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"),
+    nodes = distinct.drop("embedding").join(degrees, "node", "left").join(roots, "node", "left")
+    named = stage(
+        nodes.select(
+            "label",
+            "digest",
+            (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"),
+            F.coalesce("root", "node").alias("component_id"),
+            F.col("copies").alias("weight"),
+        ),
+        "named-vectors",
+    ).frame
+    size = named.agg(F.coalesce(F.sum(F.octet_length(F.col("label").cast("string")) + 128), F.lit(0)).alias("bytes"), F.sum("weight").alias("rows")).first()
+    usable = rows.where("digest is not null").select("vec_id", "label", "digest")
+    found = weighted_join(usable, named, ["label", "digest"], min(size["bytes"], BROADCAST_BYTES + 1), size["rows"] or 0)
+    own = F.col("vec_id").cast("long")
+    alone = rows.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), own.alias("component_id"))
+    return (
+        found.select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"))
+        .unionByName(alone)
+        .withColumn("kept", F.coalesce(own == F.col("component_id"), F.lit(False)))
     )

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factdrift.llm.common import components, map_batches, mix
+from factdrift.llm.common import blocks, components, gather, map_batches, mix
 from factdrift.staging import BROADCAST_BYTES, stage, weighted_join
 
 COSINE = 0.98
@@ -22,6 +22,7 @@ PROJECTIONS = 32
 HALF_WINDOW, CELL = 1.5, 8.0
 CELL_ROWS = 128
 BLOCK_ROWS = 512
+CHUNK_PAIRS = 1 << 18
 SEED = 7
 _CELL = ["label", "size", "part", "cell"]
 
@@ -94,8 +95,8 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.where("digest is not null").groupBy("label", "digest", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
 
 
-def _units(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
+def _units(raw: list[bytes], dimension: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), "<f8").reshape(-1, dimension)
     x = x / np.abs(x).max(1, keepdims=True)  # neither squares too large nor too small
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -106,7 +107,7 @@ def _deal(batches: Iterator[pa.RecordBatch], plan: Plan, kind: str) -> Iterator[
         for size in np.unique(sizes):
             rows = batch.take(pa.array(np.flatnonzero(sizes == size)))
             raw = [np.asarray(x.values, np.float64) for x in rows.column(1)]
-            named = cells(_units([x.tobytes() for x in raw]), plan, plan.parts).view(np.int64)
+            named = cells(_units([x.tobytes() for x in raw], int(size)), plan, plan.parts).view(np.int64)
             data = pa.array([x.astype(kind).tobytes() for x in raw], pa.binary())
             for part in range(plan.parts):
                 yield pa.RecordBatch.from_arrays(
@@ -123,77 +124,110 @@ def _deal(batches: Iterator[pa.RecordBatch], plan: Plan, kind: str) -> Iterator[
                 )
 
 
-def _collisions(left: np.ndarray, right: np.ndarray, half_window: float) -> np.ndarray:
-    """How many projections have the right vector in the window around the left one."""
-    counts = np.zeros(len(left) * len(right), np.int32)
-    for a, b in zip(left.T, right.T, strict=True):
-        order = np.argsort(b)
-        first = np.searchsorted(b[order], a - half_window, "left")
-        last = np.searchsorted(b[order], a + half_window, "right")
-        sizes = last - first
-        ends = np.cumsum(sizes)
-        ranks = np.repeat(first - (ends - sizes), sizes) + np.arange(int(ends[-1]))
-        counts += np.bincount(np.repeat(np.arange(len(a)) * len(b), sizes) + order[ranks], minlength=len(counts)).astype(np.int32)
-    return counts.reshape(len(left), len(right))
+class _Side:
+    """One side of some cells: unit vectors, hashed cells, ids and copies, row by row."""
 
+    def __init__(self, column: pa.ListArray, first: int, last: int, dimension: int, kind: str, plan: Plan, parts: int):
+        rows = column.slice(first, last - first)
+        self.sizes = np.asarray(rows.value_lengths(), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.group = np.repeat(np.arange(last - first), self.sizes)
+        values = rows.flatten()
+        raw = np.frombuffer(b"".join(values.field("vector").to_pylist()), kind)
+        self.units = _units([raw.astype("<f8").tobytes()], dimension)
+        self.cells = cells(self.units, plan, parts)
+        self.ids, self.copies = (values.field(k).to_numpy(zero_copy_only=False) for k in ("node", "copies"))
 
-def _side(rows: list[dict], kind: str, plan: Plan, part: int) -> tuple[np.ndarray, ...]:
-    raw = [np.frombuffer(x["vector"], kind).astype("<f8").tobytes() for x in rows]
-    units = _units(raw)
-    return units, cells(units, plan, part), *(np.array([x[k] for x in rows], np.int64) for k in ("node", "copies"))
+
+def _collisions(a: _Side, b: _Side, axes: np.ndarray, half_window: float) -> np.ndarray:
+    """How many projections have b's vector in the window around a's, for all pairs of a cell.
+
+    The cells of a chunk lie side by side on each axis, further apart than a window, so one
+    sort serves them all. A cell's pairs are consecutive, a's rows first.
+    """
+    sizes = a.sizes * b.sizes
+    base = np.cumsum(sizes) - sizes
+    row = base[a.group] + (np.arange(len(a.ids)) - a.starts[a.group]) * b.sizes[a.group]
+    column = np.arange(len(b.ids)) - b.starts[b.group]
+    counts = np.zeros(int(sizes.sum()), np.int64)
+    for x, y in zip((a.units @ axes).T, (b.units @ axes).T, strict=True):
+        apart = 4 * (max(np.abs(x).max(), np.abs(y).max()) + half_window)
+        x, y = x + apart * a.group, y + apart * b.group
+        order = np.argsort(y)
+        first = np.searchsorted(y[order], x - half_window, "left")
+        found = np.searchsorted(y[order], x + half_window, "right") - first
+        ranks = gather(first, found)
+        counts += np.bincount(np.repeat(row, found) + column[order[ranks]], minlength=len(counts))
+    return counts
 
 
 def _match(batches: Iterator[pa.RecordBatch], cosine: float, plan: Plan, projections: int, kind: str) -> Iterator[pa.RecordBatch]:
-    """For each block or pair of blocks: linked copies of each node, links that span what is linked.
+    """For cells, or pairs of blocks: linked copies of each node, links that span what is linked.
 
     A pair that shares several cells counts in the first of its parts only.
     """
     for batch in batches:
-        for k in range(batch.num_rows):
-            part, ours, theirs = batch.slice(k, 1).to_pylist()[0].values()
-            a, a_cells, a_ids, a_copies = _side(ours, kind, plan, part)
-            b, b_cells, b_ids, b_copies = (a, a_cells, a_ids, a_copies) if theirs is None else _side(theirs, kind, plan, part)
-            axes = directions(a.shape[1], projections)
-            hits = _collisions(a @ axes, b @ axes, plan.half_window) >= plan.least
-            at = np.nonzero(hits)
-            verified = np.zeros_like(hits)
-            for first in range(0, len(at[0]), 1 << 15):
-                i, j = at[0][first : first + (1 << 15)], at[1][first : first + (1 << 15)]
-                new = ~(a_cells[i] == b_cells[j]).any(1)
-                verified[i, j] = new & (np.einsum("ij,ij->i", a[i], b[j]) >= cosine)
-            if theirs is None:
-                np.fill_diagonal(verified, False)
-            sums = [(a_ids, verified @ b_copies)] + ([] if theirs is None else [(b_ids, a_copies @ verified)])
-            nodes = np.concatenate([ids[s > 0] for ids, s in sums])
-            more = np.concatenate([s[s > 0] for _, s in sums])
-            links = _spanning(verified, a_ids, b_ids)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([nodes, links[:, 0]]), pa.int64()),
-                    pa.array(np.concatenate([more, np.zeros(len(links), np.int64)]), pa.int64()),
-                    pa.array([None] * len(nodes) + links[:, 1].tolist(), pa.int64()),
-                ],
-                ["node", "linked", "other"],
-            )
-
-
-def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Links from one node of each connected part to its others."""
-    todo, links = linked.any(1), []
-    while todo.any():
-        root = int(np.flatnonzero(todo)[0])
-        rows = np.zeros(len(left), bool)
-        rows[root] = True
-        while True:
-            columns = linked[rows].any(0)
-            grown = rows | linked[:, columns].any(1)
-            if (grown == rows).all():
-                break
-            rows = grown
-        todo &= ~rows
-        others = np.unique(np.concatenate([left[rows], right[columns]]))
-        links += [(left[root], x) for x in others if x != left[root]]
-    return np.array(links, np.int64).reshape(-1, 2)
+        part, size, ours, theirs = (batch.column(i) for i in range(4))
+        part, size, own = np.asarray(part), np.asarray(size), np.asarray(theirs.is_null())
+        sizes = np.asarray(ours.value_lengths()), np.asarray(theirs.value_lengths().fill_null(0))
+        pairs = np.where(own, sizes[0].astype(np.int64) ** 2, sizes[0].astype(np.int64) * sizes[1])
+        alike = np.flatnonzero((np.diff(size) != 0) | (np.diff(own) != 0)) + 1
+        for low, high in zip([0, *alike], [*alike, len(own)], strict=True):
+            for first, last in blocks(pairs[low:high].tolist(), CHUNK_PAIRS):
+                first, last = low + first, low + last
+                a, b = (
+                    _Side(x, first, last, int(size[first]), kind, plan, int(part[first:last].max())) if x is not None else None
+                    for x in (ours, None if own[first] else theirs)
+                )
+                yield _links(a, b, part[first:last], cosine, plan, projections)
+
+
+def _links(a: _Side, b: _Side | None, part: np.ndarray, cosine: float, plan: Plan, projections: int) -> pa.RecordBatch:
+    other = a if b is None else b
+    counts = _collisions(a, other, directions(a.units.shape[1], projections), plan.half_window)
+    hits = np.flatnonzero(counts >= plan.least)
+    sizes = a.sizes * other.sizes
+    ends = np.cumsum(sizes)
+    group = np.searchsorted(ends, hits, "right")
+    i, j = np.divmod(hits - (ends - sizes)[group], other.sizes[group])
+    i, j = a.starts[group] + i, other.starts[group] + j
+    kept = np.zeros(len(hits), bool)
+    for k in range(0, len(hits), 1 << 15):
+        at = slice(k, k + (1 << 15))
+        met = (a.cells[i[at]] == other.cells[j[at]]) & (np.arange(a.cells.shape[1]) < part[group[at], None])
+        kept[at] = ~met.any(1) & (np.einsum("ij,ij->i", a.units[i[at]], other.units[j[at]]) >= cosine)
+    if b is None:
+        kept &= i != j
+    i, j = i[kept], j[kept]
+    linked = np.zeros(len(a.ids), np.int64)
+    np.add.at(linked, i, other.copies[j])
+    ids, at = a.ids, j
+    if b is not None:
+        more = np.zeros(len(b.ids), np.int64)
+        np.add.at(more, j, a.copies[i])
+        ids, linked, at = np.concatenate([a.ids, b.ids]), np.concatenate([linked, more]), j + len(a.ids)
+    roots = _roots(len(ids), i, at)
+    some, moved = np.flatnonzero(linked), np.flatnonzero(roots != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate([ids[some], ids[moved]]), pa.int64()),
+            pa.array(np.concatenate([linked[some], np.zeros(len(moved), np.int64)]), pa.int64()),
+            pa.array([None] * len(some) + ids[roots[moved]].tolist(), pa.int64()),
+        ],
+        ["node", "linked", "other"],
+    )
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` rows the first one that the pairs (a, b) connect it with."""
+    roots = np.arange(n)
+    while True:
+        before = roots.copy()
+        np.minimum.at(roots, a, roots[b])
+        np.minimum.at(roots, b, roots[a])
+        roots = roots[roots]
+        if np.array_equal(roots, before):
+            return roots
 
 
 def find_matches(distinct: DataFrame, cosine: float = COSINE, projections: int = PROJECTIONS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -220,12 +254,12 @@ def find_matches(distinct: DataFrame, cosine: float = COSINE, projections: int =
     sizes = counted.frame.withColumn("blocks", F.ceil(F.col("weight") / block_rows).cast("long"))
     width = 64 * total["cells"] + (0 if total["cells"] == 0 else counted.frame.agg(F.sum(F.octet_length(F.col("label").cast("string")))).first()[0])
     in_blocks = weighted_join(placed.frame, sizes, _CELL, width, total["rows"] or 0).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    blocks = in_blocks.groupBy(*_CELL, "blocks", "block").agg(F.collect_list(F.struct("node", "copies", "vector")).alias("ours"))
-    own = blocks.select(F.col("part").cast("long").alias("part"), "ours", F.lit(None).cast(dict(blocks.dtypes)["ours"]).alias("theirs"))
-    several = blocks.where("blocks > 1")
+    dealt_blocks = in_blocks.groupBy(*_CELL, "blocks", "block").agg(F.collect_list(F.struct("node", "copies", "vector")).alias("ours"))
+    own = dealt_blocks.select("part", "size", "ours", F.lit(None).cast(dict(dealt_blocks.dtypes)["ours"]).alias("theirs"))
+    several = dealt_blocks.where("blocks > 1")
     asking = several.where("block + 1 < blocks").withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)))
     asked = several.select(*_CELL, "block", F.col("ours").alias("theirs"))
-    pairs = asking.join(asked, [*_CELL, "block"]).select("part", "ours", "theirs")
+    pairs = asking.join(asked, [*_CELL, "block"]).select("part", "size", "ours", "theirs")
     matches = map_batches(own.unionByName(pairs), lambda batches: _match(batches, cosine, plan, projections, kind), "node long, linked long, other long")
     found = stage(matches, "matches")
     placed.drop()

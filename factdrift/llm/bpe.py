@@ -76,17 +76,22 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
-        parts, owners = [], []
-        for i, text in enumerate(texts):
-            for part in safe_cuts(text):
-                parts.append(part)
-                owners.append(i)
-        ids, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
+        ids, starts, sizes = self.words(texts)
+        before = np.append(0, np.cumsum(sizes))
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        return ids, np.diff(before[np.searchsorted(starts, np.append(0, np.cumsum(lengths)))])
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, where words start in the joined texts, and the number of ids of each word."""
+        parts = [part for text in texts for part in safe_cuts(text)]
+        found = [(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        at = 0
         for first, last in blocks(map(len, parts), BLOCK):
-            got, each = self._block(parts[first:last])
-            ids.append(got)
-            np.add.at(counts, owners[first:last], each)
-        return np.concatenate(ids), counts
+            ids, starts, sizes = self._block(parts[first:last])
+            found.append((ids, starts + at, sizes))
+            at += sum(map(len, parts[first:last]))
+        ids, starts, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        return ids, starts, sizes
 
     def word_starts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Code points of all parts, and where in them words start."""
@@ -147,11 +152,10 @@ class WordEncoder:
             kinds = self._classes[chars]
         return kinds
 
-    def _block(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _block(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         chars, starts = self.word_starts(parts)
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         if len(starts) == 0:
-            return np.zeros(0, np.uint32), np.zeros(len(parts), np.int64)
+            return np.zeros(0, np.uint32), starts, starts
         ends = np.append(starts[1:], len(chars))
         hashes = PrefixHash(chars).spans(starts, ends)
         text = "".join(parts)
@@ -172,11 +176,10 @@ class WordEncoder:
         if numbers is None:
             numbers = self._words.number(chars, hashes, starts, ends, learn)
         if not self._words.agree(numbers, chars, starts, ends):
-            each = [one.ids for one in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
-            return np.fromiter((x for ids in each for x in ids), np.uint32), np.array([len(x) for x in each], np.int64)
+            words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            each = [one.ids for one in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, each), np.int64, len(each))
+            return np.fromiter((x for ids in each for x in ids), np.uint32), starts, sizes
         firsts = self._offsets[numbers]
-        counts = self._offsets[numbers + 1] - firsts
-        ids = self._ids[gather(firsts, counts)]
-        before = np.append(0, np.cumsum(counts))
-        bounds = np.searchsorted(starts, np.append(0, np.cumsum(lengths)))
-        return ids, np.diff(before[bounds])
+        sizes = self._offsets[numbers + 1] - firsts
+        return self._ids[gather(firsts, sizes)], starts, sizes

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +19,10 @@ from factdrift.llm.common import PrefixHash, blocks, code_points, map_batches, s
 
 WINDOW = 24
 MEAN_CHUNK = 512
+# No cut lies within this many characters of another, so chunks hold some words.
+LEAST_CHUNK = 64
+# Characters of the next chunk that a join is tried with first.
+JOIN = 48
 CACHE_BYTES = 48 << 20
 
 _caches: dict[tuple, ChunkCache] = {}
@@ -24,114 +32,157 @@ def cut_points(chars: np.ndarray, begins: np.ndarray, window: int = WINDOW, mean
     """Where chunks start: at texts' ``begins``, and where a rolling hash says so.
 
     The hash is that of the ``window`` characters before a place, all of the same text, so
-    passages that documents share are cut alike, wherever they stand.
+    passages that documents share are cut alike, wherever they stand. Of places closer
+    than ``LEAST_CHUNK`` to the one before only the first counts.
     """
     inner = np.arange(window, len(chars) + 1)
     chosen = inner[PrefixHash(chars).spans(inner - window, inner) % np.uint64(mean) == 0]
     text = np.searchsorted(begins, chosen, side="right") - 1
-    chosen = chosen[(chosen - begins[text] > window) & (chosen < len(chars))]
+    within = (chosen - begins[text] >= window) & (chosen < len(chars))
+    chosen, text = chosen[within], text[within]
+    apart = np.diff(chosen, prepend=-LEAST_CHUNK) >= LEAST_CHUNK
+    apart[1:] |= text[1:] != text[:-1]
+    chosen = chosen[apart & (chosen - begins[text] >= LEAST_CHUNK)]
     return np.union1d(begins[begins < len(chars)], chosen)
 
 
-class ChunkCache:
-    """Encoded chunks of this Python worker, the oldest forgotten beyond ``CACHE_BYTES``.
+class Chunk(NamedTuple):
+    """A chunk encoded alone: where its words start, and their ids.
 
-    Of a chunk it keeps the ids up to its first and from its last place where white space
-    follows something else. Words surely end there, so what lies between has the same ids
-    in any surroundings; what lies outside is encoded anew with the neighbour's part.
+    Words before number ``sure`` end so far from the chunk's end that no text behind it
+    can change them, given that a word starts where the first of them does.
     """
 
+    ids: np.ndarray
+    starts: array
+    offsets: array
+    sure: int
+
+
+class ChunkCache:
+    """Encoded chunks of this Python worker, the oldest forgotten beyond ``CACHE_BYTES``."""
+
     def __init__(self, words: WordEncoder):
         self.words, self.known, self.size = words, {}, 0
+        # So far a word's end may depend on what follows: a contraction or a special token.
+        self.ahead = max(4, *map(len, words.specials)) if words.specials else 4
 
     def shrink(self) -> None:
         while self.size > CACHE_BYTES:
             old = next(iter(self.known))
-            self.size -= self._size(old, self.known.pop(old)[0])
+            self.size -= self._size(old, self.known.pop(old))
 
     def add(self, texts: list[str]) -> None:
         """Encode each of the distinct ``texts`` once."""
-        ids, counts = self.words.encode(texts)
-        ends = np.cumsum(counts)
-        bounds = [sure_bounds(text) for text in texts]
-        edges = [part for text, (first, last) in zip(texts, bounds, strict=True) for part in (text[: max(first, 0)], text[last:] if last >= 0 else "")]
-        edge_ids, edge_counts = self.words.encode(edges)
-        edge_ends = np.cumsum(edge_counts)
-        for k, (text, (first, last)) in enumerate(zip(texts, bounds, strict=True)):
-            own = ids[ends[k] - counts[k] : ends[k]].copy()
-            n_head, n_tail = int(edge_counts[2 * k]), int(edge_counts[2 * k + 1])
-            head = edge_ids[edge_ends[2 * k] - n_head : edge_ends[2 * k]]
-            tail = edge_ids[edge_ends[2 * k + 1] - n_tail : edge_ends[2 * k + 1]]
-            if not (np.array_equal(own[:n_head], head) and np.array_equal(own[len(own) - n_tail :], tail)):
-                first = last = -1  # no agreement within the chunk: the repair goes on into the next
-            self.known[text] = (own, first, last, n_head, len(own) - n_tail)
-            self.size += self._size(text, own)
+        ids, starts, sizes = self.words.words(texts)
+        offsets = np.append(0, np.cumsum(sizes))
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        bounds = np.append(0, np.searchsorted(starts, ends)).tolist()
+        for text, end, first, last in zip(texts, ends.tolist(), bounds, bounds[1:], strict=False):
+            own, at = starts[first:last] - (end - len(text)), offsets[first : last + 1]
+            sure = int(np.searchsorted(own[1:], len(text) - self.ahead, side="right"))
+            chunk = Chunk(ids[at[0] : at[-1]].copy(), array("i", own.tolist()), array("i", (at - at[0]).tolist()), sure)
+            self.known[text] = chunk
+            self.size += self._size(text, chunk)
 
     @staticmethod
-    def _size(text: str, ids: np.ndarray) -> int:
-        return 4 * len(text) + 4 * len(ids) + 300
-
-
-def sure_bounds(text: str) -> tuple[int, int]:
-    """The first and last place where white space follows something else; -1 if none."""
-    chars = code_points(text)
-    blank = (chars == 32) | (chars == 10) | (chars == 9)
-    other = (chars > 32) & (chars < 127) | (chars > 0x10FFFF)
-    at = np.flatnonzero(blank[1:] & other[:-1])
-    return (int(at[0]) + 1, int(at[-1]) + 1) if len(at) else (-1, -1)
+    def _size(text: str, chunk: Chunk) -> int:
+        return 4 * len(text) + 4 * len(chunk.ids) + 8 * len(chunk.starts) + 600
 
 
 def encode_texts(texts: list[str], cache: ChunkCache) -> list[np.ndarray]:
     """Ids of each text, exactly as of the whole text at once."""
     out: list[np.ndarray] = []
     for first, last in blocks(map(len, texts), BLOCK):
-        out += _encode_block(texts[first:last], cache)
+        out += _Block(texts[first:last], cache).encoded()
     return out
 
 
-def _encode_block(texts: list[str], cache: ChunkCache) -> list[np.ndarray]:
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    begins = np.cumsum(lengths) - lengths
-    joined = "".join(texts)
-    if not joined:
-        return [np.zeros(0, np.uint32) for _ in texts]
-    starts = cut_points(code_points(joined), begins)
-    cache.shrink()
-    pieces = [joined[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(joined)], strict=True)]
-    cache.add(list(dict.fromkeys(x for x in pieces if x not in cache.known)))
-    firsts = np.searchsorted(starts, begins).tolist()
-    lasts = np.searchsorted(starts, begins + lengths).tolist()
-
-    # Each document as runs of kept ids and joins to repair.
-    plans: list[list] = []
-    joins: list[str] = []
-    for a, b in zip(firsts, lasts, strict=True):
-        plan: list = []
-        pending = ""  # text before the next sure place, not yet encoded
-        for k in range(a, b):
-            ids, first, last, n_first, n_last = cache.known[pieces[k]]
-            if first < 0:
-                if b - a == 1:
-                    plan.append(ids)
-                else:
-                    pending += pieces[k]
+class _Block:
+    """Some documents in chunks, whose joins are repaired.
+
+    A join is the text from the last sure word of a chunk on. It is encoded anew, together
+    with ever more of what follows, until it agrees with a chunk there: a word that starts
+    and ends at the same places and has the same ids. Words depend on the text behind
+    their start alone, so from there on the chunk's own ids hold, in any script.
+    """
+
+    def __init__(self, texts: list[str], cache: ChunkCache):
+        self.cache = cache
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(lengths) - lengths
+        self.text = "".join(texts)
+        cuts = cut_points(code_points(self.text), begins, WINDOW, MEAN_CHUNK)
+        self.cuts = [*cuts.tolist(), len(self.text)]
+        pieces = [self.text[a:b] for a, b in pairwise(self.cuts)]
+        cache.shrink()
+        cache.add(list(dict.fromkeys(x for x in pieces if x not in cache.known)))
+        self.chunks = [cache.known[x] for x in pieces]
+        # First chunk, chunk behind the last, and end of each document.
+        self.docs = list(
+            zip(np.searchsorted(cuts, begins).tolist(), np.searchsorted(cuts, begins + lengths).tolist(), (begins + lengths).tolist(), strict=True)
+        )
+
+    def encoded(self) -> list[np.ndarray]:
+        tries = [(k, last, min(self.cuts[k + 1] + JOIN, end)) for first, last, end in self.docs for k in range(first, last - 1)]
+        joins = dict(zip((k for k, _, _ in tries), self._joins(tries), strict=True))
+        out = []
+        for first, last, end in self.docs:
+            parts, k, at = [np.zeros(0, np.uint32)], first, 0
+            while k < last:
+                chunk = self.chunks[k]
+                if k == last - 1:
+                    parts.append(chunk.ids[at:])
+                    break
+                parts.append(chunk.ids[at : chunk.offsets[chunk.sure]])
+                join, size = joins[k], JOIN
+                while join is None:
+                    size *= 2
+                    (join,) = self._joins([(k, last, min(self.cuts[k + 1] + size, end))])
+                ids, k, at = join
+                parts.append(ids)
+            out.append(np.concatenate(parts))
+        return out
+
+    def _joins(self, tries: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, int, int] | None]:
+        """For each (chunk, chunk behind the last, end of the text taken): the join's ids, and the chunk and its id to go on with."""
+        lefts = [self.cuts[k] + self.chunks[k].starts[self.chunks[k].sure] for k, _, _ in tries]
+        windows = [self.text[left:right] for left, (_, _, right) in zip(lefts, tries, strict=True)]
+        ids, starts, sizes = self.cache.words.words(windows)
+        offsets = np.append(0, np.cumsum(sizes)).tolist()
+        places = [*starts.tolist(), sum(map(len, windows))]
+        word, before, out = 0, 0, []
+        for left, (k, last, right) in zip(lefts, tries, strict=True):
+            begin, shift = word, left - before
+            before += right - left
+            while places[word] < before:
+                word += 1
+            found = self._agreement(k, last, right, [x + shift for x in places[begin : word + 1]], offsets[begin : word + 1], ids)
+            if found is None and right == self.cuts[last]:
+                found = ids[offsets[begin] : offsets[word]], last, 0  # up to the document's end
+            out.append(found)
+        return out
+
+    def _agreement(self, k: int, last: int, right: int, places: list[int], offsets: list[int], ids: np.ndarray):
+        sure = right if right == self.cuts[last] else right - self.cache.ahead
+        to = k + 1
+        for i, (start, end) in enumerate(pairwise(places)):
+            if start < self.cuts[to]:
                 continue
-            if k > a:
-                plan.append(len(joins))
-                joins.append(pending + pieces[k][:first])
-            plan.append(ids[n_first if k > a else 0 : n_last if k < b - 1 else len(ids)])
-            pending = pieces[k][last:] if k < b - 1 else ""
-        if pending:
-            plan.append(len(joins))
-            joins.append(pending)
-        plans.append(plan)
-    patches, counts = cache.words.encode(joins)
-    ends = np.cumsum(counts)
-    none = np.zeros(0, np.uint32)
-    return [
-        np.concatenate([none, *(x if isinstance(x, np.ndarray) else patches[ends[x] - counts[x] : ends[x]] for x in plan)])
-        for plan in plans
-    ]
+            if end > sure:
+                return None
+            while start >= self.cuts[to + 1]:
+                to += 1
+            chunk, at = self.chunks[to], start - self.cuts[to]
+            w = bisect_left(chunk.starts, at)
+            # A word that is not sure in its own chunk can still change, but in the last one.
+            if w >= (len(chunk.starts) if to == last - 1 else chunk.sure) or chunk.starts[w] != at:
+                continue
+            own = chunk.ids[chunk.offsets[w] : chunk.offsets[w + 1]]
+            ends = self.cuts[to] + chunk.starts[w + 1] if w + 1 < len(chunk.starts) else self.cuts[to + 1]
+            if ends == end and np.array_equal(own, ids[offsets[i] : offsets[i + 1]]):
+                return ids[offsets[0] : offsets[i]], to, chunk.offsets[w]
+        return None
 
 
 def _cache(tokenizer: str) -> ChunkCache:
@@ -184,6 +235,8 @@ def digest_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text they decode to.
 
     The same as digests over ``encode_documents``, without moving the ids out of Python.
+    A null text counts as empty and has no tokens; repeated rows stay, a null doc_id stays
+    null, an empty table gives no rows, further columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

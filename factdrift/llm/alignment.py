@@ -24,6 +24,7 @@ from factdrift.staging import BROADCAST_BYTES, stage, weighted_join
 
 # Up to this many distinct pairs tasks look counts up in arrays of 17 bytes a pair.
 LOOKUP_PAIRS = 3_000_000
+# Pairs that a worker handles at a time.
 _PENDING_PAIRS = 1 << 19
 # Characters that are aligned at a time.
 _BLOCK = BLOCK >> 1
@@ -190,6 +191,13 @@ def _aligned_rows(raw: list[bytes], n: pa.Array, tables: Tables) -> pa.RecordBat
     )
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows in slices whose lists in ``column`` hold ``_PENDING_PAIRS`` pairs at most, or one row."""
+    for batch in batches:
+        for first, last in blocks(pc.list_value_length(batch.column(column)).to_pylist(), _PENDING_PAIRS):
+            yield batch.slice(first, last - first)
+
+
 def _lists(batch: pa.RecordBatch, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs, their times and how many each row has, of the list columns from ``first`` on."""
     a, b, times = (batch.column(first + k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
@@ -218,7 +226,7 @@ def count_pairs(aligned: DataFrame) -> DataFrame:
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(links[0])], ["pair", "links"])
 
-        for batch in batches:
+        for batch in _sliced(batches, 1):
             pair, times, sizes = _lists(batch, 1)
             if len(pair) == 0:
                 continue
@@ -251,7 +259,7 @@ def _looked_up(aligned: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, links, best = held.value
-        for batch in batches:
+        for batch in _sliced(batches, 1):
             pair, times, sizes = _lists(batch, 1)
             at = np.searchsorted(known, pair)
             ends = np.cumsum(sizes)

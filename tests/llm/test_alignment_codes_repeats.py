@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from factdrift.llm import alignment, repeats, vector_codes
@@ -292,3 +293,16 @@ def test_long_texts_are_cut_where_words_start():
     ids, counts = ENCODER.encode(["x", text, "", text[:300_000] + " "])
     cuts = np.split(ids, np.cumsum(counts)[:-1])
     assert [x.tolist() for x in cuts] == [ENCODER.model.encode(t) for t in ("x", text, "", text[:300_000] + " ")]
+
+
+def test_slices_of_pairs_hold_every_row(monkeypatch):
+    monkeypatch.setattr(alignment, "_PENDING_PAIRS", 3)
+    lists = [[1], [], [2, 3], [4, 5, 6, 7], [], [8], [9, 10], [11]]
+    columns = [pa.array(range(len(lists))), *(pa.array(lists, pa.list_(pa.int32())) for _ in range(3))]
+    batch = pa.RecordBatch.from_arrays(columns, ["n", "pairs_a", "pairs_b", "times"])
+    slices = list(alignment._sliced([batch, batch.slice(0, 0)], 1))
+    assert [x for s in slices for x in s.column(0).to_pylist()] == list(range(len(lists)))
+    found = [alignment._lists(s, 1) for s in slices]
+    assert [t for _, times, _ in found for t in times.tolist()] == [x for each in lists for x in each]
+    assert [n for _, _, sizes in found for n in sizes.tolist()] == [len(each) for each in lists]
+    assert all(len(pair) <= 3 or len(sizes) == 1 for pair, _, sizes in found)

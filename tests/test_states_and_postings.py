@@ -57,3 +57,13 @@ def test_rules_whose_antecedent_a_set_holds(spark, monkeypatch, limit):
     rule_frame = spark.createDataFrame([(name, a, ["c"]) for name, a in rules.items()] * 2, "rule_key string, antecedent array<string>, consequent array<string>")
     found = {(r.k, r.rule_key) for r in applicable_rules(frame, ["k"], rule_frame).collect()}
     assert found == {(k, name) for k, held in sets.items() for name, a in rules.items() if set(a) <= set(held)}
+
+
+def test_hits_are_not_shuffled(spark):
+    """Sets meet the rules' lists where they are: nothing is dealt anew once the lists are unfolded."""
+    sets = spark.createDataFrame([(1, "p"), (1, "q"), (2, "p")], "k int, item string")
+    rules = spark.createDataFrame([("r", ["p", "q"], ["c"])], "rule_key string, antecedent array<string>, consequent array<string>")
+    found = applicable_rules(sets, ["k"], rules)
+    assert [tuple(r) for r in found.collect()] == [(1, "r", ["c"])]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Aggregate" not in plan[: plan.index("Generate inline")]

@@ -3,7 +3,7 @@
 Entities are numbered and cut into buckets of 32,768. An item has one bitmap for each
 window and bucket in which it occurs; a set of items is in as many transactions as bits
 are left when its items' bitmaps are combined by AND. Neither items nor transactions are
-gathered anywhere: a task holds the bitmaps of some buckets.
+gathered anywhere: a task holds the bitmaps of one bucket, 4 KB for each frequent item.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .windows import WindowPlan
 
 # Assumed size of a row's numbers in a broadcast table, next to its text.
 _ENTRY_BYTES = 64
+# Sets that are counted in a bucket at once, about.
+_SLICE_SETS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -68,17 +70,19 @@ def vertical_items(items: LongItems | MaskedItems, min_support: float) -> Vertic
     kept = weighted_join(facts, known, ["window_id", "item"], totals["bytes"], totals["occurrences"])
     # Dense within a partition, so entities that were counted together share buckets.
     entities = stage(kept.select("entity").distinct().withColumn("number", F.monotonically_increasing_id() + 1), "entities")
-    bitmaps = (
-        kept.join(entities.frame, "entity")
-        .groupBy("window_id", "item_id", F.bitmap_bucket_number("number").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
-    )
-    laid = stage(bitmaps, "bitmaps")
+    laid = stage(bitmaps_of(kept.join(entities.frame, "entity"), "window_id"), "bitmaps")
     for table in (frequent, numbers, entities):
         table.drop()
     return Vertical(sizes, singles, laid, totals["bytes"])
 
 
+def bitmaps_of(numbered: DataFrame, *keys: str) -> DataFrame:
+    """``keys, item_id, bucket, bits`` of rows of ``keys, item_id, number``."""
+    return numbered.groupBy(*keys, "item_id", F.bitmap_bucket_number("number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
+    )
+
+
 def next_candidates(level: DataFrame, size: int) -> DataFrame:
     """``window_id, ids``: sets of ``size`` items all of whose smaller sets are in ``level``.
 
@@ -104,22 +108,61 @@ def next_candidates(level: DataFrame, size: int) -> DataFrame:
 
 
 def count_sets(bitmaps: DataFrame, sets: DataFrame, n_sets: int, size: int) -> DataFrame:
-    """``window_id, ids, freq`` of ``sets`` of ``size`` items that are in some transaction.
+    """``window_id, ids, freq`` of ``sets`` of up to ``size`` items that share a bucket.
 
-    Bitmaps of a bucket meet in one task, where a set's bits are combined and counted; only
-    counts go on from there.
+    Bitmaps of a bucket meet in one task with some of the sets, at most as many as
+    ``_SLICE_SETS`` or so; only counts go on from there. Bitmaps are repeated for each
+    slice of the sets, not for each set.
     """
-    members = sets.select("window_id", "ids", F.explode("ids").alias("item_id"))
-    member_bytes = n_sets * size * (_ENTRY_BYTES + 8 * size)
-    dealt = bitmaps.repartition("window_id", "bucket")
-    return (
-        bounded_join(dealt, members, ["window_id", "item_id"], member_bytes, ["bucket"])
-        .groupBy("window_id", "bucket", "ids")
-        .agg(F.count("*").alias("n"), F.bitmap_and_agg("bits").alias("bits"))
-        .where(F.col("n") == size)
-        .groupBy("window_id", "ids")
-        .agg(F.sum(F.bitmap_count("bits")).alias("freq"))
-    )
+    slices = max(1, -(-n_sets // _SLICE_SETS))
+    cut = F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int").alias("slice")
+    every = F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")
+    at = ["window_id", "bucket", "slice"]
+    # New names of the same, for the two sides of the cogroup are the same table otherwise.
+    buckets = bitmaps.select(*(F.col(name).alias(name) for name in ("window_id", "bucket"))).distinct()
+    set_bytes = n_sets * (_ENTRY_BYTES + 8 * size)
+    asked = bounded_join(buckets, sets.select("window_id", "ids", cut), ["window_id"], set_bytes, ["bucket"])
+    dealt = bitmaps.select("window_id", "bucket", "item_id", "bits", every)
+    counted = dealt.groupBy(*at).cogroup(asked.groupBy(*at)).applyInArrow(_bucket_counter(), "window_id int, ids array<long>, freq long")
+    return counted.groupBy("window_id", "ids").agg(F.sum("freq").alias("freq"))
+
+
+def _bucket_counter():
+    """Counts the sets of a bucket by AND; made here, so executors need not have this package."""
+    block = 256
+
+    def count(maps, sets):
+        import numpy as np
+        import pyarrow as pa
+
+        maps, sets = maps.combine_chunks(), sets.combine_chunks()
+        found, freqs = [], []
+        if len(maps) and len(sets):
+            items = maps["item_id"].to_numpy()
+            order = np.argsort(items)
+            items = items[order]
+            bits = np.frombuffer(b"".join(maps["bits"].to_pylist()), np.uint64).reshape(len(items), -1)
+            lengths = sets["ids"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+            members = sets["ids"].combine_chunks().flatten().to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            for size in np.unique(lengths):
+                some = np.flatnonzero(lengths == size)
+                ids = members[starts[some][:, None] + np.arange(size)]
+                place = np.minimum(np.searchsorted(items, ids), len(items) - 1)
+                there = (items[place] == ids).all(1)
+                some, place = some[there], order[place[there]]
+                for first in range(0, len(some), block):
+                    rows = place[first : first + block]
+                    shared = bits[rows[:, 0]]
+                    for k in range(1, size):
+                        shared &= bits[rows[:, k]]
+                    freqs.append(np.bitwise_count(shared).sum(1, dtype=np.int64))
+                found.append(some)
+        chosen = sets.take(pa.array(np.concatenate(found) if found else [], pa.int64()))
+        freq = pa.array(np.concatenate(freqs) if freqs else [], pa.int64())
+        return pa.table({"window_id": chosen["window_id"], "ids": chosen["ids"], "freq": freq})
+
+    return count
 
 
 def frequent_sets(vertical: Vertical) -> tuple[DataFrame, list[Staged]]:

@@ -2,8 +2,10 @@
 
 import factdrift.operators.mining_input as mining_input
 import factdrift.staging as staging
+import factdrift.operators.vertical as vertical
 import pytest
 from factdrift import mine_incremental, mine_triples, mine_vertical, plan_windows
+from factdrift.operators.incremental import changed_bitmaps, updated_counts
 from factdrift.operators.vertical import count_sets, next_candidates
 from pyspark.sql import functions as F
 from test_mining import brute_force, random_triples, values
@@ -97,3 +99,22 @@ def test_work_follows_the_change(spark):
     again = mine_triples(facts, plan, 0.5, 0.5)
     key = ["window_id", "items", "freq"]
     assert sorted(found.itemsets.select(key).collect()) == sorted(again[0].select(key).collect())
+
+
+@pytest.mark.parametrize("slice_sets", [1, 1 << 16])
+def test_sets_of_several_sizes_in_slices(spark, monkeypatch, slice_sets):
+    monkeypatch.setattr(vertical, "_SLICE_SETS", slice_sets)
+    held = {1: {5, 6, 40_000}, 2: {6, 7, 40_000}, 3: {6}}
+    rows = [(0, item, n) for item, ns in held.items() for n in ns]
+    maps = vertical.bitmaps_of(spark.createDataFrame(rows, "window_id int, item_id long, number long"), "window_id")
+    sets = spark.createDataFrame([(0, [1, 2]), (0, [1, 2, 3]), (0, [3]), (0, [2, 9])], "window_id int, ids array<long>")
+    found = {tuple(r.ids): r.freq for r in vertical.count_sets(maps, sets, 4, 3).collect()}
+    assert found == {(1, 2): 2, (1, 2, 3): 1, (3,): 1}
+
+
+def test_counts_follow_bitmaps_of_the_changed(spark):
+    rows = [(1, 1, 1, 1), (1, 2, 1, 0), (2, 1, 0, 1), (2, 2, 1, 1), (40_000, 1, 0, 1), (40_000, 2, 0, 1)]
+    changes = spark.createDataFrame([(3, *row) for row in rows], "window_id int, number long, item_id long, was int, now int")
+    kept = spark.createDataFrame([([1], 5), ([1, 2], 4), ([7, 8], 2)], "ids array<long>, freq long")
+    found = updated_counts(kept, changed_bitmaps(changes), 3, 2).collect()
+    assert {tuple(r.ids): r.freq for r in found} == {(1,): 7, (1, 2): 5, (7, 8): 2}

@@ -33,9 +33,13 @@ def _layouts(lines: DataFrame, delimiter: str) -> DataFrame:
     sep = re.escape(delimiter)
     cell = rf'(?:"(?:[^"]++|"")*+"|[^"{sep}]*+)'
     first = F.min_by("value", F.struct("start", "row"))
-    files = lines.groupBy("file").agg(
-        first.alias("line"),
-        F.bool_and(F.col("value").rlike(rf"(?s)\A{cell}(?:{sep}{cell})*+\z")).alias("by_line"),
+    # At most one mark a file. With a set among them, the aggregates of a task's files are
+    # objects in a hash table; the first line alone, being text, would have all lines sorted.
+    broken_line = F.when(~F.col("value").rlike(rf"(?s)\A{cell}(?:{sep}{cell})*+\z"), F.lit(True))
+    files = (
+        lines.groupBy("file")
+        .agg(first.alias("line"), F.collect_set(broken_line).alias("marks"))
+        .select("file", "line", (F.size("marks") == 0).alias("by_line"))
     )
     # A first cell may be empty; the delimiter in front makes every match longer than nothing.
     cells = F.regexp_extract_all(

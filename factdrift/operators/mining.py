@@ -107,9 +107,8 @@ def _mine_staged(
         [(w, n, cuts[w]) for w, n in n_tx.items()], "window_id int, n_tx long, cut long"
     )
 
-    counted = items.rows.groupBy("window_id", "item").agg(F.count("*").alias("freq"))
     frequent = bounded_join(
-        counted, windows, ["window_id"], _ENTRY_BYTES * len(n_tx), ["item"]
+        items.counted(), windows, ["window_id"], _ENTRY_BYTES * len(n_tx), ["item"]
     ).where("freq >= cut")
     kept.append(stage(items.dictionary(frequent), "frequent-items"))
     dictionary = kept[-1].frame

@@ -20,6 +20,8 @@ _BITS = 64
 _WORD_SHIFT = 6
 # Up to this many windows a fact's windows are bits of a few longs.
 MASK_WINDOWS = 8 * _BITS
+# Up to this many longs hold what a subject has of all frequent items.
+PACKED_WORDS = 32
 _WINDOW_BITS = 9
 _SPANS = "snapshot string, n_triples long, first_window int, last_window int"
 
@@ -42,6 +44,10 @@ class LongItems:
     entity: str
     sizes: DataFrame
 
+    def counted(self) -> DataFrame:
+        """How often each window has an item: ``window_id, item, freq``."""
+        return self.rows.groupBy("window_id", "item").agg(F.count("*").alias("freq"))
+
     def dictionary(self, frequent: DataFrame) -> DataFrame:
         """Number every frequent (window, item).
 
@@ -78,10 +84,20 @@ class MaskedItems:
     def rows(self) -> DataFrame:
         return self.staged.frame.select(F.explode(self.window_ids()).alias("window_id"), "item")
 
+    def counted(self) -> DataFrame:
+        """How often each window has an item: ``window_id, item, freq``."""
+        return self._per_window(self.staged.frame, ["item"], "freq")
+
     @property
     def sizes(self) -> DataFrame:
         entities = self.staged.frame.groupBy("subject").agg(*_merged(self.words))
-        return transactions_per_window(entities.select(F.explode(self.window_ids()).alias("window_id")))
+        return self._per_window(entities, [], "n_transactions")
+
+    def _per_window(self, masked: DataFrame, keys: list[str], name: str) -> DataFrame:
+        """Rows of each window and key. Rows with the same windows are counted before they come apart."""
+        alike = masked.groupBy(*keys, *self.words).agg(F.count("*").alias("_n"))
+        apart = alike.select(F.explode(self.window_ids()).alias("window_id"), *keys, "_n")
+        return apart.groupBy("window_id", *keys).agg(F.sum("_n").alias(name))
 
     def window_ids(self) -> Column:
         """The windows whose bit is set, in order."""
@@ -150,12 +166,15 @@ class MaskedItems:
         any_window = F.lit(False)
         for word in self.words:
             any_window = any_window | (F.col(word) != 0)
-        entities = (
-            kept.where(any_window)
-            .groupBy("subject")
-            .agg(F.collect_list(F.struct("item_id", *self.words)).alias("facts"))
-            .where(F.size("facts") > 1)
-        )
+        kept = kept.where(any_window)
+        most = PACKED_WORDS // len(self.words)
+        numbers = [r["item_id"] for r in dictionary.select("item_id").limit(most + 1).collect()]
+        if 0 < len(numbers) <= most:
+            entities = self._packed(kept, numbers)
+        else:
+            fact = F.struct("item_id", *self.words)
+            entities = kept.groupBy("subject").agg(F.collect_list(fact).alias("facts"))
+        entities = entities.where(F.size("facts") > 1)
 
         def in_window(k: Column, word: str, first: int) -> Column:
             held = F.filter("facts", lambda fact: F.getbit(fact[word], k - first) == 1)
@@ -171,6 +190,33 @@ class MaskedItems:
         )
         return entities.select(F.inline(baskets)).where(F.size("ids") > 1)
 
+    def _packed(self, kept: DataFrame, numbers: list[int]) -> DataFrame:
+        """Each subject's ``facts`` when few items are frequent: merged in a column for each, not in a list."""
+        merged = [
+            F.bit_or(F.when(F.col("item_id") == number, F.col(word)).otherwise(F.lit(0).cast("long"))).alias(
+                f"i{i}_{word}"
+            )
+            for i, number in enumerate(numbers)
+            for word in self.words
+        ]
+        facts = F.array(
+            *(
+                F.struct(
+                    F.lit(number).cast("long").alias("item_id"),
+                    *(F.col(f"i{i}_{word}").alias(word) for word in self.words),
+                )
+                for i, number in enumerate(numbers)
+            )
+        )
+
+        def anywhere(fact: Column) -> Column:
+            found = F.lit(False)
+            for word in self.words:
+                found = found | (fact[word] != 0)
+            return found
+
+        return kept.groupBy("subject").agg(*merged).select(F.filter(facts, anywhere).alias("facts"))
+
 
 def _merged(words: list[str]) -> list[Column]:
     return [F.bit_or(word).alias(word) for word in words]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.ntriples import parse_lines
-from ..staging import bounded_join
+from ..staging import BROADCAST_BYTES, bounded_join
 
 
 def tag_snapshot(df: DataFrame, snapshot: str, snapshot_ts: datetime) -> DataFrame:
@@ -52,10 +52,18 @@ def _matched_roots(spark: SparkSession, path: str) -> list[str]:
 
 # ``file:///a`` and ``file:/a`` are the same place.
 _NO_AUTHORITY = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*:)///")
-# Assumed size of a snapshot's entry in the broadcast map of paths.
+# Assumed size of an entry in the broadcast map of files or paths.
 _ROOT_BYTES = 1024
 
 
+def _tag_of(file: str, tags: Mapping[str, list]) -> list:
+    """What the path that ``file`` is, or is in, is tagged with; nothing if there is none."""
+    path = _NO_AUTHORITY.sub(r"\1/", file)
+    while path not in tags and "/" in path:
+        path = path.rpartition("/")[0]
+    return tags.get(path, [])
+
+
 def ingest_snapshots(
     spark: SparkSession,
     snapshots: Mapping[str, tuple[str, datetime]],
@@ -65,8 +73,9 @@ def ingest_snapshots(
     """Read ``{id: (path, timestamp)}`` into one frame of temporal triples.
 
     All paths are one scan, however many snapshots there are; a line's snapshot follows
-    from the path of its file, looked up in a map with one entry for each path. Only paths
-    within each other, whose files belong to several snapshots, are scans of their own.
+    from its file, looked up in a map with one entry for each file while that can be
+    broadcast, and for each path beyond. Only paths within each other, whose files belong
+    to several snapshots, are scans of their own.
     Small files share tasks, so a task can hold several snapshots.
     """
     if not snapshots:
@@ -86,11 +95,20 @@ def ingest_snapshots(
             for snapshot, (path, snapshot_ts) in snapshots.items()
         ]
         return parse_lines(union_all(lines), mode, observation)
+    read = spark.read.text([str(path) for path, _ in snapshots.values()])
+    files = read._jdf.inputFiles()
+    if len(files) * _ROOT_BYTES <= BROADCAST_BYTES:
+        tags = {root: tag for root, *tag in roots}
+        found = [(file, *_tag_of(file, tags)) for file in files]
+        if all(tag for _, *tag in found):
+            of_file = spark.createDataFrame(found, "_file string, snapshot string, snapshot_ts timestamp")
+            # Never null, so that no filter finds the file's name once more.
+            lines = read.select("value", F.coalesce(F.input_file_name(), F.lit("")).alias("_file"))
+            return parse_lines(lines.join(F.broadcast(of_file), "_file").drop("_file"), mode, observation)
     file = F.regexp_replace(F.col("_metadata.file_path"), _NO_AUTHORITY.pattern, "$1/")
     depths = sorted({root.count("/") + 1 for root, _, _ in roots})
     above = F.array_distinct(F.array(*(F.substring_index(file, "/", depth) for depth in depths)))
-    paths = [str(path) for path, _ in snapshots.values()]
-    lines = spark.read.text(paths).select("value", (above[0] if len(depths) == 1 else F.explode(above)).alias("_root"))
+    lines = read.select("value", (above[0] if len(depths) == 1 else F.explode(above)).alias("_root"))
     of_root = spark.createDataFrame(roots, "_root string, snapshot string, snapshot_ts timestamp")
     tagged = bounded_join(lines, of_root, ["_root"], len(roots) * _ROOT_BYTES, ["value"])
     return parse_lines(tagged.drop("_root"), mode, observation)

@@ -170,11 +170,12 @@ class MaskedItems:
         most = PACKED_WORDS // len(self.words)
         numbers = [r["item_id"] for r in dictionary.select("item_id").limit(most + 1).collect()]
         if 0 < len(numbers) <= most:
-            entities = self._packed(kept, numbers)
-        else:
-            fact = F.struct("item_id", *self.words)
-            entities = kept.groupBy("subject").agg(F.collect_list(fact).alias("facts"))
-        entities = entities.where(F.size("facts") > 1)
+            return self._packed_baskets(kept, numbers)
+        entities = (
+            kept.groupBy("subject")
+            .agg(F.collect_list(F.struct("item_id", *self.words)).alias("facts"))
+            .where(F.size("facts") > 1)
+        )
 
         def in_window(k: Column, word: str, first: int) -> Column:
             held = F.filter("facts", lambda fact: F.getbit(fact[word], k - first) == 1)
@@ -190,32 +191,35 @@ class MaskedItems:
         )
         return entities.select(F.inline(baskets)).where(F.size("ids") > 1)
 
-    def _packed(self, kept: DataFrame, numbers: list[int]) -> DataFrame:
-        """Each subject's ``facts`` when few items are frequent: merged in a column for each, not in a list."""
+    def _packed_baskets(self, kept: DataFrame, numbers: list[int]) -> DataFrame:
+        """``baskets`` when few items are frequent: merged in columns for each, not in a list."""
+        columns = [[f"i{i}_{word}" for word in self.words] for i in range(len(numbers))]
         merged = [
-            F.bit_or(F.when(F.col("item_id") == number, F.col(word)).otherwise(F.lit(0).cast("long"))).alias(
-                f"i{i}_{word}"
-            )
-            for i, number in enumerate(numbers)
-            for word in self.words
+            F.bit_or(F.when(F.col("item_id") == number, F.col(word)).otherwise(F.lit(0).cast("long"))).alias(name)
+            for number, names in zip(numbers, columns)
+            for name, word in zip(names, self.words)
         ]
-        facts = F.array(
+        window_id = F.col("window_id")
+
+        def held(names: list[str]) -> Column:
+            word = F.array(*names)[F.shiftright(window_id, _WORD_SHIFT)] if len(names) > 1 else F.col(names[0])
+            return F.getbit(word, window_id.bitwiseAND(F.lit(_BITS - 1)))
+
+        none = F.array().cast("array<bigint>")
+        ids = F.concat(
             *(
-                F.struct(
-                    F.lit(number).cast("long").alias("item_id"),
-                    *(F.col(f"i{i}_{word}").alias(word) for word in self.words),
-                )
-                for i, number in enumerate(numbers)
+                F.when(held(names) == 1, F.array(F.lit(number).cast("long") + window_id)).otherwise(none)
+                for number, names in zip(numbers, columns)
             )
         )
-
-        def anywhere(fact: Column) -> Column:
-            found = F.lit(False)
-            for word in self.words:
-                found = found | (fact[word] != 0)
-            return found
-
-        return kept.groupBy("subject").agg(*merged).select(F.filter(facts, anywhere).alias("facts"))
+        windows = F.explode(F.sequence(F.lit(0), F.lit(self.n_windows - 1))).alias("window_id")
+        return (
+            kept.groupBy("subject")
+            .agg(*merged)
+            .select("*", windows)
+            .where(sum((held(names).cast("int") for names in columns), F.lit(0)) > 1)
+            .select("window_id", ids.alias("ids"))
+        )
 
 
 def _merged(words: list[str]) -> list[Column]:
